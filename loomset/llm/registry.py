@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility
+from loomset.llm import chosenpath, fertility, mixing, pieces, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility(documents(spark, sf_dir))
 
 
+def op7_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample(documents(spark, sf_dir))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir))
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(documents(spark, sf_dir), chosenpath.Join(shingle=4))
 
 
-QUERIES = {f.__name__: f for f in (op6_tokeniser_fertility, op9_chosen_path)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path)}
 
 ORACLES = {
     "op9_chosen_path": r"""
