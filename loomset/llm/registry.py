@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility, mixing, pieces, secrets
+from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, transport
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.report(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(documents(spark, sf_dir), chosenpath.Join(shingle=4))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path)}
 
 ORACLES = {
     "op9_chosen_path": r"""
