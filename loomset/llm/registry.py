@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, transport
+from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, transport, warc
+from loomset.llm.cluster import shared
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +38,24 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(documents(spark, sf_dir), chosenpath.Join(shingle=4))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path)}
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
 
 ORACLES = {
+    "op10_warc_bundles": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, octet_length(encode(h)) AS n, unhex(sha1(h)) AS d, sha1(h) AS k FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 20), lambda i: lpad(bin(strpos('0123456789abcdef', substr(k, 2 * i + 1, 1)) * 16 + strpos('0123456789abcdef', substr(k, 2 * i + 2, 1)) - 17), 8, '0')), '') AS bits FROM x),
+c AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS digest,
+  max(page_id) OVER (PARTITION BY k) AS top FROM b)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM c
+""",
     "op9_chosen_path": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
