@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, transport, warc
+from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, suffixes, transport, warc
 from loomset.llm.cluster import shared
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_bytes(documents(spark, sf_dir), with_bytes=False).drop("kept")
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility(documents(spark, sf_dir))
 
@@ -43,9 +47,24 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op4_suffix_dedup, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
 
 ORACLES = {
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100),
+w AS (SELECT n.doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM n JOIN d USING (doc_id)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1),
+k AS (SELECT doc_id, i, first FROM w JOIN m USING (s)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM k WHERE first < doc_id),
+r AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY ALL),
+p AS (SELECT d.doc_id, s.a, substr(d.h, 2 * coalesce(lag(s.b) OVER (PARTITION BY d.doc_id ORDER BY s.a), 0) + 1, 2 * (s.a - coalesce(lag(s.b) OVER (PARTITION BY d.doc_id ORDER BY s.a), 0))) AS piece, s.b - s.a AS gone, s.b FROM d JOIN s USING (doc_id)),
+o AS (SELECT doc_id, sum(gone) AS gone, count(*) AS runs, string_agg(piece, '' ORDER BY a) AS kept, max(b) AS last FROM p GROUP BY 1)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(o.gone, 0) AS BIGINT) AS n_removed, coalesce(o.runs, 0) AS n_spans,
+  sha256(unhex(CASE WHEN o.gone IS NULL THEN d.h ELSE o.kept || substr(d.h, 2 * o.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+""",
     "op10_warc_bundles": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, octet_length(encode(h)) AS n, unhex(sha1(h)) AS d, sha1(h) AS k FROM p),
