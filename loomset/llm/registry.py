@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility, mixing, pieces, secrets, suffixes, transport, warc
+from loomset.llm import chosenpath, fertility, mixing, pieces, pii, secrets, suffixes, transport, warc
 from loomset.llm.cluster import shared
 
 
@@ -26,6 +26,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.kept_bytes(documents(spark, sf_dir), with_bytes=False).drop("kept")
 
 
+def op5_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op4_suffix_dedup, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
 
 ORACLES = {
     "op4_suffix_dedup": r"""
