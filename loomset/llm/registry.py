@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chosenpath, fertility, mixing, pieces, pii, secrets, suffixes, transport, warc
+from loomset.llm import chaining, chosenpath, fertility, mixing, pieces, pii, secrets, suffixes, transport, warc
 from loomset.llm.cluster import shared
 
 
@@ -18,6 +18,10 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.report(documents(spark, sf_dir))
 
 
+def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
 
 ORACLES = {
     "op4_suffix_dedup": r"""
