@@ -223,10 +223,10 @@ def _(spark, sf):
     return tables.inserted(target, rows, ["o_custkey"], "pos", "first")
 
 
-@query("join4_insert_keep_last", "SELECT l_partkey, l_suppkey, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS q FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1, 2")
+@query("join4_insert_keep_last", "SELECT l_partkey, l_suppkey, max_by(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) AS q FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1, 2")
 def _(spark, sf):
     li = t(spark, sf, "lineitem")
-    rows = li.select("l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    rows = li.select("l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity")).alias("pos"))
     return tables.inserted(li.where("l_partkey % 2 = 0").select("l_partkey", "l_suppkey"), rows, ["l_partkey", "l_suppkey"], "pos", "last")
 
 
