@@ -31,7 +31,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-IDENTIFIER = r"(?<![A-Za-z0-9._/()+:-])[A-Za-z0-9][A-Za-z0-9._/()+:-]*+"
+IDENTIFIER = r"(?<![A-Za-z0-9._/()+:-])(?=(?:[A-Za-z._/()+:-]*+[0-9]){%d})[A-Za-z0-9][A-Za-z0-9._/()+:-]*+"
 
 
 @dataclass(frozen=True)
@@ -78,9 +78,9 @@ def scan(documents: DataFrame, text: str = "text", base: str = "base_spans", loo
     found[3] = F.filter(found[3], lambda s: F.length(digits(s["value"])).between(8, 15))
     df = df.withColumn(base, spans.by_kind(F.concat(*found)))
     if loose:
-        df = df.withColumn(named("id"), spans.matches(t, IDENTIFIER, some & t.rlike(r"[0-9](?:[^\s0-9]{0,8}[0-9]){3}")))
-        enough = lambda s: F.length(digits(s["value"])) >= least_digits
-        df = df.withColumn(loose, spans.apart(F.filter(spans.located(t, F.col(named("id")), IDENTIFIER, 4), enough), F.col(base)))
+        identifier = IDENTIFIER % least_digits
+        df = df.withColumn(named("id"), spans.matches(t, identifier, some))
+        df = df.withColumn(loose, spans.apart(spans.located(t, F.col(named("id")), identifier, 4), F.col(base)))
     return df.drop(*(named(x) for x in ("text", "digit", "email", "ip", "card", "phone", "id")))
 
 
