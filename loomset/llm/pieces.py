@@ -66,30 +66,31 @@ class Vocabulary:
             self.bytes[i] = m.id_to_piece(i).replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
-        plain = [i for i in plain if self.bytes[i]]
-        flat = np.frombuffer(b"".join(self.bytes[i] for i in plain), np.uint8)
-        size = np.array([len(self.bytes[i]) for i in plain])
+        known = {self.bytes[i]: i for i in reversed(plain) if self.bytes[i]}
+        for piece in list(known):
+            for size in range(1, len(piece)):
+                known.setdefault(piece[:size], -1)  # what a longer piece begins with
+        flat = np.frombuffer(b"".join(known), np.uint8)
+        size = np.array([len(b) for b in known])
         self.longest = int(size.max())
         end = np.cumsum(size)
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(tb.CODES[flat] * tb.powers("base", tb.BASE, len(flat)))])
         key = hashed(prefix, end - size, end)
         order = np.argsort(key)
-        self.key, self.id = np.append(key[order], np.uint64(0)), np.append(np.array(plain, np.int32)[order], -1)
+        self.key, self.id = np.append(key[order], np.uint64((1 << 64) - 1)), np.append(np.array(list(known.values()), np.int32)[order], -2)
         self.slot = np.searchsorted(self.key[:-1], np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
-        self.crowd = int(np.diff(np.append(self.slot, len(order))).max())
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.at = np.cumsum(self.sizes) - self.sizes
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 where there is none."""
+        """Ids of the pieces with these hashes; -1 for the beginning of a piece, -2 for neither."""
         at = self.slot[(key >> np.uint64(46)).astype(np.int64)]
-        out = np.full(len(key), -1, np.int32)
-        for step in range(self.crowd):
-            near = np.minimum(at + step, len(self.key) - 1)
-            hit = self.key[near] == key
-            out[hit] = self.id[near[hit]]
-        return out
+        live = np.flatnonzero(self.key[at] < key)
+        while len(live):
+            at[live] += 1
+            live = live[self.key[at[live]] < key[live]]
+        return np.where(self.key[at] == key, self.id[at], np.int32(-2))
 
 
 def hashed(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -135,12 +136,16 @@ class Lattices:
         self.start, self.size, self.id, self.log = (np.concatenate(x) for x in zip(none, *parts))
         many = np.bincount(self.start, minlength=len(data)) if len(self.start) else np.zeros(len(data), np.int64)
         self.lo = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
-        self.sum = np.cumsum(np.exp(self.log, dtype=np.float64))
-        self.before = np.concatenate([[0.0], self.sum])
+        before = np.concatenate([[0.0], np.cumsum(np.exp(self.log, dtype=np.float64))])[:-1]
+        self.below = (before - before[self.lo[self.start]]).astype(np.float32)  # of the edges before it with its start
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        lo = self.lo[at]
-        return np.clip(np.searchsorted(self.sum, self.before[lo] + u, "right"), lo, self.lo[at + 1] - 1)
+        edge = self.lo[at + 1] - 1  # the longest piece, which is the likeliest most often
+        live = np.flatnonzero(self.below[edge] > u)
+        while len(live):
+            edge[live] -= 1
+            live = live[self.below[edge[live]] > u[live]]
+        return edge
 
 
 def edges_of(data: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,11 +169,12 @@ def edges_of(data: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndar
         if not len(here):
             break
         found = v.find(tb.mix((prefix[here + length] - first) * back + np.uint64(length)))
-        hit = np.flatnonzero(found >= 0)
+        hit, more = np.flatnonzero(found >= 0), found > -2
         start.append(here[hit])
         size.append(np.full(len(hit), length, np.uint8))
         ids.append(found[hit])
         has[here[hit][own[here[hit]] == length]] = True
+        here, back, first, rest = here[more], back[more], first[more], rest[more]
     bare = np.flatnonzero(head & ~has).astype(np.int32)
     start = np.concatenate([*start, bare])
     size = np.concatenate([*size, own[bare].astype(np.uint8)])
