@@ -18,6 +18,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def narrow(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """cut(df) in no more partitions than one for each `rows` rows, so that few rows don't pass through many files."""
+    df = cut(df)
+    return df.coalesce(-(-df.count() // rows) or 1)
+
+
 def shared(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named or "file://" + tempfile.mkdtemp(prefix="loomset-")
