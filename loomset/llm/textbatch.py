@@ -55,7 +55,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of whole rows whose text has about `most` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -124,7 +124,7 @@ def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def map_blocks(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, column: str = "text", most: int = 4 << 20):
+def map_blocks(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, column: str = "text", most: int = 2 << 20):
     """`df.mapInArrow` over blocks of bounded text size."""
 
     def run(batches):
