@@ -50,7 +50,8 @@ class Rules:
     min_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
-    min_tokens: int = 100  # below, a document has too few tokens for its bands
+    min_tokens: int = 100  # below, a document's bands are wider
+    wider: float = 0.15  # by what share at a quarter of these tokens; it grows with 1 / sqrt(n)
     bands: dict = field(
         default_factory=lambda: {
             "en": Band(1.85, 8.0, 0.10, 0.50),
@@ -165,15 +166,18 @@ def judge(m: dict[str, np.ndarray], langs: list, rules: Rules) -> None:
     base = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
     bands = [rules.bands.get(lang) or rules.bands.get(script) or rules.bands["other"] for lang, script in zip(langs, m["script"])]
     low, high, most, least = (np.array([getattr(b, f.name) for b in bands], float) for f in Band.__dataclass_fields__.values())
-    enough = m["n_tokens"] >= rules.min_tokens
+    # the fewer tokens, the more figures vary: no wider from min_tokens on
+    some, n = m["n_tokens"] > 0, np.maximum(m["n_tokens"], 1)
+    wider = 1 + rules.wider * np.maximum(np.sqrt(rules.min_tokens / n) - 1, 0)
+    low, least, high, most = low / wider, least / wider, high * wider, most * wider
     # n tokens have log2(n) bits at most, and prose of any length little more than a dozen
     room = np.minimum(np.log2(np.maximum(m["n_tokens"], 2)), 12.0)
     why = np.full(len(base), None, object)
     for name, bad in (
-        ("token entropy", enough & (m["token_entropy"] < least * room)),
-        ("byte fallback", enough & (m["byte_share"] > most)),
-        ("characters per token, high", enough & (m["chars_per_token"] > high)),
-        ("characters per token, low", enough & (m["chars_per_token"] < low)),
+        ("token entropy", some & (m["token_entropy"] < least * room)),
+        ("byte fallback", some & (m["byte_share"] > most)),
+        ("characters per token, high", some & (m["chars_per_token"] > high)),
+        ("characters per token, low", some & (m["chars_per_token"] < low)),
         ("repeated words", 100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"]),
         ("few words", m["n_words"] < rules.min_words),
     ):

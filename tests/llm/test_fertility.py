@@ -1,6 +1,7 @@
 """Fertility figures against direct computation."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -56,3 +57,14 @@ def test_filter_keeps_columns_whatever_their_names(spark):
     got = fertility.filter_documents(df)
     assert got.columns == df.columns and [r.doc_id for r in got.collect()] == [2]
     assert fertility.filter_documents(df.limit(0)).collect() == []
+
+
+def test_short_and_long_junk_is_rejected_and_short_prose_is_kept(spark):
+    rnd = random.Random(4)
+    junk = lambda n: " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(5)) for _ in range(n))
+    prose = "The river was quiet that morning and the people of the village walked along the bank to see the first boats of the year come in."
+    rows = [(1, junk(22), "en"), (2, junk(300), "en"), (3, prose, "en")]
+    got = {r.doc_id: r for r in fertility.fertility(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1].n_tokens < 100 and not got[1].base_failed and got[1].reason == "characters per token, low"
+    assert got[2].n_tokens > 1000 and got[2].reason == "characters per token, low"
+    assert got[3].n_tokens < 100 and got[3].kept
