@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,16 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once a row: what a lambda refers to is computed again for each of its elements."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def softmax(logits: Column, temp: float = 1.0) -> Column:
     """Softmax of logits / temp, shifted by the maximum so that no exponential overflows."""
-    scaled = F.transform(logits, lambda x: x.cast("double") / temp)
-    powers = F.transform(scaled, lambda x: F.exp(x - F.array_max(scaled)))
-    return F.transform(powers, lambda e: e / total(powers))
+    powers = lambda x, most: F.transform(x, lambda v: F.exp((v.cast("double") - most) / temp))
+    shares = lambda p: bound(total(p), lambda t: F.transform(p, lambda e: e / t))
+    return bound(F.array_max(logits).cast("double"), lambda most: bound(powers(logits, most), shares))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -23,8 +30,7 @@ def dot(x: Column, y: Column) -> Column:
 
 def unit(x: Column, eps: float = 1e-8) -> Column:
     """x over its Euclidean norm, or over eps if that is larger."""
-    norm = F.greatest(F.sqrt(dot(x, x)), F.lit(eps))
-    return F.transform(x, lambda v: v.cast("double") / norm)
+    return bound(F.greatest(F.sqrt(dot(x, x)), F.lit(eps)), lambda norm: F.transform(x, lambda v: v.cast("double") / norm))
 
 
 def cosine_matrix(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, eps: float = 1e-8) -> DataFrame:
@@ -67,9 +73,13 @@ def distributed(num: Column, chunks: Column) -> Column:
 
 def quantised(feat: Column) -> Column:
     """struct<codes array<smallint>, min, max>: affine codes from 0 to 255, half to even; a constant vector has codes 0."""
-    low, high = F.array_min(feat).cast("double"), F.array_max(feat).cast("double")
-    codes = F.transform(feat, lambda x: F.when(high > low, F.rint((x.cast("double") - low) * 255.0 / (high - low))).otherwise(F.lit(0.0)).cast("smallint"))
-    return F.struct(codes.alias("codes"), low.alias("min"), high.alias("max"))
+    ends = F.struct(F.array_min(feat).cast("double").alias("min"), F.array_max(feat).cast("double").alias("max"))
+
+    def codes(e: Column) -> Column:
+        code = lambda x: F.when(e["max"] > e["min"], F.rint((x.cast("double") - e["min"]) * 255.0 / (e["max"] - e["min"]))).otherwise(F.lit(0.0)).cast("smallint")
+        return F.struct(F.transform(feat, code).alias("codes"), e["min"].alias("min"), e["max"].alias("max"))
+
+    return bound(ends, codes)
 
 
 def dequantised(codes: Column, low: Column, high: Column) -> Column:

@@ -45,16 +45,60 @@ def words_and_connectors(c: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(c, F.lit(r"(\S+)(\s*)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(\S+)(\s*)"), F.lit(2)), lambda w, s: F.struct(w.alias("word"), s.alias("conn")))
 
 
-def treebank_like(c: Column) -> Column:
-    """Word-level tokens: words, numbers with inner points, contractions and single punctuation marks, each with what follows it."""
-    pattern = r"(\w+(?:[.,]\d+)*(?='(?:s|re|ve|ll|d|m)\b)|'(?:s|re|ve|ll|d|m)\b|[\p{L}\p{N}_]+(?:[-.,'][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_])(\s*)"
-    return F.zip_with(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), lambda w, s: F.struct(w.alias("word"), s.alias("conn")))
+#: Marks that no text is expected to hold: between two tokens that no white space parts, and at a sentence's end.
+CUT, END = "\ue000", "\ue001"
+#: Where Treebank tokens part, in order: a pattern (of Java and of RE2 alike) and its groups with CUT around the token.
+#: Fixed values of the Treebank convention: its marks, clitics and contractions.
+TREEBANK = (
+    (r'(^|[\s(\[{<])(")', "1|2|"),  # opening quotes
+    (r"([^'\s])(' )", "1|2"),
+    (r"([:,])([^\d\s])", "|1|2"),
+    (r"([:,])(\s|$)", "|1|2"),
+    (r"(\.{2,})", "|1|"),
+    (r"([;@#$%&?!])", "|1|"),
+    (r"([^.\s])(\.)([\])}>\"']*)(\s*)(" + END + "|$)", "1|2|3|4 5"),  # the full stop that ends a sentence
+    (r"([\]\[(){}<>])", "|1|"),
+    (r"(--)", "|1|"),
+    (r"([^\s])('')", "1|2|"),
+    (r'([^\s])(")', "1|2|"),
+    (r"([^'\s])('[sSmMdD])(\s|$|[" + CUT + END + "])", "1|2|3"),
+    (r"([^'\s])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)(\s|$|[" + CUT + END + "])", "1|2|3"),
+    (r"(?i)\b(can)(not)\b", "1|2"),
+    (r"(?i)\b(d)('ye)\b", "1|2"),
+    (r"(?i)\b(gim|lem)(me)\b", "1|2"),
+    (r"(?i)\b(gon|wan)(na)\b", "1|2"),
+    (r"(?i)\b(got)(ta)\b", "1|2"),
+    (r"(?i)\b(more)('n)\b", "1|2"),
+    (r"(?i)('t)(is|was)\b", "1|2"),
+)
+SENTENCE = r"""([.!?]+["')\]]*)(\s)"""
+TOKEN = f"([^\\s{CUT}{END}]+)[{CUT}{END}]*(\\s*)"
+
+
+def replacement(groups: str, sign: str) -> str:
+    """'1|2' as a replacement string: CUT for each bar; sign marks a group."""
+    return "".join(f"{sign}{g}" if g.isdigit() else CUT if g == "|" else "" for g in groups)
+
+
+def treebank_cut(c: Column) -> Column:
+    out = F.regexp_replace(c, SENTENCE, f"$1{END}$2")
+    for pattern, groups in TREEBANK:
+        out = F.regexp_replace(out, pattern, replacement(groups, "$"))
+    return out
+
+
+def treebank_words(c: Column) -> Column:
+    """array<struct<word, conn>>: words, numbers, punctuation and clitics of each sentence, each with the white space after it.
+
+    Sentences end at closing punctuation before white space; no model is needed. White space before the first token is lost."""
+    return F.transform(F.regexp_extract_all(treebank_cut(c), F.lit(TOKEN), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, TOKEN, 1).alias("word"), F.regexp_extract(x, TOKEN, 2).alias("conn")))
 
 
 def sentences_and_connectors(c: Column) -> Column:
-    """Sentences by closing punctuation before white space, each with the white space after it; no model is needed."""
-    pattern = r"(?s)(\S.*?(?:[.!?]+[\"')\]]*(?=\s|$)|$))(\s*)"
-    return F.zip_with(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), lambda w, s: F.struct(w.alias("word"), s.alias("conn")))
+    """Sentences by closing punctuation before white space, each with the white space after it."""
+    pattern = f"([^\\s{END}][^{END}]*){END}?(\\s*)"
+    cut = F.regexp_replace(c, SENTENCE, f"$1{END}$2")
+    return F.transform(F.regexp_extract_all(cut, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.regexp_replace(F.replace(x, F.lit(END), F.lit("")), r"\s+$", "").alias("word"), F.regexp_extract(x, r"(\s*)$", 1).alias("conn")))
 
 
 def rebuilt(pairs: Column) -> Column:

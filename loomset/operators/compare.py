@@ -56,6 +56,12 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], rtol: float
     return both.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("__d")).select(*keys, "__d.*")
 
 
+def reindexed(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with a row for each key of either table; what df lacks is null. Keys of df are expected to be unique."""
+    union = df.select(keys).unionByName(other.select(keys)).distinct()
+    return union.join(df, keys, "left")
+
+
 def column_differences(left: DataFrame, right: DataFrame) -> list[tuple[str, str]]:
     """(column, what) for columns of one side alone and for differing types; schemas only, nothing is read."""
     l, r = dict(left.dtypes), dict(right.dtypes)

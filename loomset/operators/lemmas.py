@@ -14,6 +14,17 @@ def lemmatised(df: DataFrame, table: DataFrame, word: str, into: str = "lemma")
     return df.join(known, F.col(word) == F.col("__word"), "left").withColumn(into, F.coalesce("__lemma", word)).drop("__word", "__lemma")
 
 
+def lemmas_by_table(df: DataFrame, table: DataFrame, key: str, text: str, into: str = "lemmas") -> DataFrame:
+    """key, array<string> lemmas of a text's white-space words, in order, by a lookup table (word, lemma).
+
+    Each distinct word is looked up once; words that the table lacks keep their surface form.
+    """
+    words = df.select(key, F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("__at", "__w"))
+    known = lemmatised(words.select("__w").distinct(), table, "__w", "__lemma_of")
+    rows = words.join(known, "__w")
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__lemma_of"))), lambda r: r["__lemma_of"]).alias(into))
+
+
 def lemmas_of_texts(df: DataFrame, text: str, model: Callable[[], Callable[[str], list[str]]], into: str = "lemmas") -> DataFrame:
     """df with array<string> lemmas: the model is loaded once for each worker, and each distinct text goes through it once."""
 

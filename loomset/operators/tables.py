@@ -88,6 +88,18 @@ def upserted(target: DataFrame, rows: DataFrame, keys: list[str], position: str,
     return target.unionByName(inserted(target, rows, keys, position, keep))
 
 
+def insert_report(target: DataFrame, rows: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """n_inserted, n_ignored: how many rows an insert that ignores duplicates adds, and how many it leaves out."""
+    added = inserted(target, rows, keys, position).agg(F.count(F.lit(1)).alias("n_inserted"))
+    return added.crossJoin(rows.agg(F.count(F.lit(1)).alias("__n"))).select("n_inserted", (F.col("__n") - F.col("n_inserted")).alias("n_ignored"))
+
+
+def saved(df: DataFrame, folder: str) -> DataFrame:
+    """df written as Parquet and read back."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def cache_get(cache: DataFrame, keys: DataFrame, key: str = "key", value: str = "value", position: str = "position") -> DataFrame:
     """The cached value of each asked key, null where there is none; positions keep the order of the request."""
     return keys.join(cache.select(key, value), key, "left").select(position, key, value)

@@ -642,3 +642,6 @@ def _(spark, sf):
 def _(spark, sf):
     done = t(spark, sf, "pages").where("page_id % 3 = 0").select("page_id", F.lit("ok").alias("status"))
     return t(spark, sf, "pages").select("page_id").join(done, "page_id", "left_anti")
+
+
+from loomset.plans import endtoend  # noqa: E402, F401  adds its queries

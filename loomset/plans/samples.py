@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +78,57 @@ def decoded(df: DataFrame, name: Column, content: str, decoders: list[tuple[str,
     return df.withColumn(into, out)
 
 
+def gzipped(content: Column) -> Column:
+    """Bytes as gzip; equal bytes give equal output."""
+
+    @F.pandas_udf("binary")
+    def run(column):
+        return column.map(lambda x: None if x is None else gzip.compress(x, 6, mtime=0))
+
+    return run(content)
+
+
+def gunzipped(content: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(column):
+        return column.map(lambda x: None if x is None else gzip.decompress(x))
+
+    return run(content)
+
+
+#: What fields hold by their suffix, as strings: texts, class numbers and JSON.
+BASIC = [
+    (r"\.(txt|text|transcript|json|jsn)$", lambda c: F.decode(c, "UTF-8")),
+    (r"\.(cls|cls2|class|count|index|inx|id)$", lambda c: F.decode(c, "UTF-8").try_cast("long").cast("string")),
+]
+
+
+def decoded_chain(df: DataFrame, name: str, content: str, handlers: list, post: list | None = None, only: list[str] | None = None, into: str = "value") -> DataFrame:
+    """df with `into`: what the first handler that knows a field's suffix makes of it.
+
+    Before them, gzip is undone and the name goes on without .gz; after them come the basic ones. What none
+    knows, and what is not in `only`, keeps its bytes in `content`; the rest has null there.
+    """
+    own = F.regexp_extract(name, r"^[^.]*\.(.*)$", 1)
+    asked = own.isin(only) if only is not None else F.lit(True)
+    zipped = asked & F.col(name).endswith(".gz")
+    rows = df.withColumn("__zip", zipped)
+    plain = rows.where(~F.col("__zip")).withColumn("__data", F.col(content))
+    rows = plain.unionByName(rows.where("__zip").withColumn("__data", gunzipped(F.col(content))))
+    bare = F.when(F.col("__zip"), F.regexp_replace(name, r"\.gz$", "")).otherwise(F.col(name))
+    value = F.lit(None).cast("string")
+    for pattern, decode in reversed([*handlers, *(BASIC if post is None else post)]):
+        value = F.when(asked & bare.rlike(pattern), decode(F.col("__data"))).otherwise(value)
+    rows = rows.withColumn(into, value)
+    return rows.withColumn(content, F.when(F.col(into).isNull(), F.col("__data"))).drop("__zip", "__data")
+
+
+def flat_tags(root: Column, blocks: Column) -> Column:
+    """Tags of an image as one map: those of named blocks (map of maps) as block/tag, behind those at the root."""
+    entries = F.flatten(F.transform(F.map_entries(blocks), lambda b: F.transform(F.map_entries(F.coalesce(b["value"], F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(b["key"], F.lit("/"), e["key"]).alias("key"), e["value"].alias("value")))))
+    return F.map_from_entries(F.concat(F.map_entries(root), entries))
+
+
 def parallel(df: DataFrame) -> DataFrame:
     """df with the partition that holds each row: the rank of a worker, as far as Spark has one."""
     return df.withColumn("rank", F.spark_partition_id())

@@ -116,6 +116,25 @@ def wave_samples(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("audio", decode(F.col(content)))
 
 
+def wave_bytes(codes: Column, rate: int, channels: int) -> Column:
+    """16-bit PCM WAVE bytes of interleaved samples (array<int>); a part of a frame at the end is left out."""
+
+    @F.pandas_udf("binary")
+    def encode(column):
+        def one(x):
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(channels)
+                w.setsampwidth(2)
+                w.setframerate(rate)
+                w.writeframes(np.asarray(x[: len(x) // channels * channels], "<i2").tobytes())
+            return out.getvalue()
+
+        return column.map(lambda x: None if x is None else one(x))
+
+    return encode(codes)
+
+
 def has_high_band(rate: Column, samples: Column, low: float = 19_000.0, high: float = 21_000.0, eps: float = 1e-6) -> Column:
     """Whether any bin of the min-max normalised spectrogram between low and high Hz exceeds eps (256 samples, steps of 128)."""
 
@@ -138,19 +157,31 @@ def has_high_band(rate: Column, samples: Column, low: float = 19_000.0, high: fl
     return check(rate, samples)
 
 
+#: Element types of tensor files; bf16 is the upper half of a float.
+DTYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "u1"}
+
+
+def elements(raw: bytes, dtype: str) -> np.ndarray:
+    if dtype == "BF16":
+        return (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
+    if dtype not in DTYPES:
+        raise ValueError(f"tensor type {dtype} is not supported")
+    return np.frombuffer(raw, DTYPES[dtype]).astype(np.float32)
+
+
 TENSORS = "name string, shape array<int>, dtype string, values array<float>"
 
 
-def tensors_packed(df: DataFrame, key: str) -> DataFrame:
-    """key, content: each key's tensors (name, shape, values) as one zstd-compressed safetensors file."""
+def tensors_packed(df: DataFrame, key: str, dtype: str = "F32") -> DataFrame:
+    """key, content: each key's tensors (name, shape, values) as one zstd-compressed safetensors file of one element type."""
 
     def pack(table: pa.Table) -> pa.Table:
         import zstandard
 
         header, body, at = {}, [], 0
         for r in sorted(table.to_pylist(), key=lambda r: r["name"]):
-            raw = np.asarray(r["values"], "<f4").tobytes()
-            header[r["name"]] = {"dtype": "F32", "shape": r["shape"], "data_offsets": [at, at + len(raw)]}
+            raw = np.asarray(r["values"], DTYPES[dtype]).tobytes()
+            header[r["name"]] = {"dtype": dtype, "shape": r["shape"], "data_offsets": [at, at + len(raw)]}
             body.append(raw)
             at += len(raw)
         head = json.dumps(header, separators=(",", ":")).encode()
@@ -175,7 +206,7 @@ def tensors_unpacked(files: DataFrame, key: str, content: str = "content") -> Da
                 for name, t in json.loads(data[8 : 8 + size]).items():
                     if name != "__metadata__":
                         a, b = t["data_offsets"]
-                        rows.append((k, name, t["shape"], t["dtype"], np.frombuffer(data[8 + size + a : 8 + size + b], "<f4").tolist()))
+                        rows.append((k, name, t["shape"], t["dtype"], elements(data[8 + size + a : 8 + size + b], t["dtype"]).tolist()))
             types = (batch.column(0).type, pa.string(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "name", "shape", "dtype", "values"])
 

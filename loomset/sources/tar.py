@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -182,6 +183,30 @@ def packed(files: DataFrame, shards: int, most: int = 512 << 20) -> DataFrame:
     return dealt.mapInArrow(run, "archive string, content binary")
 
 
+def shards_for(files: DataFrame, size: int = 128 << 20) -> int:
+    """How many shards of about `size` bytes files (name, data) need: one pass over their lengths."""
+    total = files.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return max(1, -(-total // size))
+
+
+def matching(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """files whose names fit one of the shell patterns; a star stays within a folder, two cross folders."""
+
+    def regex(pattern: str) -> str:
+        out = ""
+        for piece in re.split(r"(\*\*|\*|\?)", pattern):
+            out += {"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece, re.escape(piece))
+        return f"^{out}$"
+
+    return files.where(F.col("name").rlike("|".join(map(regex, patterns))))
+
+
+def stat_of(spark: SparkSession, folder: str) -> DataFrame:
+    """archive, size, mtime of the archives in a folder, as the file system lists them: contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("archive"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
 def verified(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """name, problem for members that are missing, unexpected, twice there, or of other content. Both: name, data."""
     e = expected.select("name", F.octet_length("data").alias("es"), F.sha2("data", 256).alias("eh"))
