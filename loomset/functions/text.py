@@ -42,7 +42,8 @@ def replace_nul(df: DataFrame) -> DataFrame:
 
 def words_and_connectors(c: Column) -> Column:
     """array<struct<word, conn>>: each white-space token with the white space after it. Text before the first token is lost."""
-    return F.zip_with(F.regexp_extract_all(c, F.lit(r"(\S+)(\s*)"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(\S+)(\s*)"), F.lit(2)), lambda w, s: F.struct(w.alias("word"), s.alias("conn")))
+    whole = F.regexp_extract_all(c, F.lit(r"\S+\s*"), F.lit(0))
+    return F.transform(whole, lambda x: F.struct(F.regexp_replace(x, r"\s+$", "").alias("word"), F.regexp_extract(x, r"(\s*)$", 1).alias("conn")))
 
 
 #: Marks that no text is expected to hold: between two tokens that no white space parts, and at a sentence's end.

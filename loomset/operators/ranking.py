@@ -22,14 +22,14 @@ def top_classes(df: DataFrame, key: str, logits: str, names: str, true_id: str |
     return each.where(keep).select(key, rank.alias("rank"), F.col("__r.i").alias("class_index"), (-F.col("__r.neg")).alias("prob"), F.element_at("__names", F.col("__r.i") + 1).alias("name"))
 
 
-def positioned(df: DataFrame, order: list[str], into: str = "position", buckets: int = 64) -> DataFrame:
+def positioned(df: DataFrame, order: list[str], into: str = "position") -> DataFrame:
     """Rows numbered from 0 in a global order, without a single-task window.
 
-    Rows are dealt into ranges of the order; each range is numbered, and starts where the
-    counts of the ranges before it end.
+    Rows are dealt into ranges of the order, as many as the session's shuffles have partitions; each
+    range is numbered, and starts where the counts of the ranges before it end.
     """
     # ranges are drawn from a sample: they are fixed before rows are counted and numbered
-    dealt = materialised(df.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id()))
+    dealt = materialised(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     edges = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = edges.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     numbered = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
@@ -37,9 +37,16 @@ def positioned(df: DataFrame, order: list[str], into: str = "position", buckets:
 
 
 def smoothed(df: DataFrame, key: str, order: list[str], value: str, decay: float = 0.9) -> DataFrame:
-    """key, ema: the exponential moving average of each key's values in order, at its end."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda s: s["__v"])
-    return df.groupBy(key).agg(ordered.alias("__values")).select(key, arrays.ema(F.col("__values"), decay).alias("ema"))
+    """key, ema: the exponential moving average of each key's values in order, at its end; the first value seeds it.
+
+    The average is a sum: each value counts by its place from the end. Places come from a global numbering,
+    so a key of any size is summed in parts. Null values count as rows but add nothing.
+    """
+    rows = positioned(df.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(value).cast("double").alias("__v")), ["__key", *(f"__o{i}" for i in range(len(order)))], "__p")
+    ends = rows.groupBy("__key").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"))
+    both = rows.join(ends.withColumnRenamed("__key", "__of"), F.col("__key").eqNullSafe(F.col("__of")))
+    weight = F.pow(F.lit(decay), F.col("__last") - F.col("__p")) * F.when(F.col("__p") == F.col("__first"), 1.0).otherwise(1.0 - decay)
+    return both.groupBy(F.col("__key").alias(key)).agg(F.sum(weight * F.col("__v")).alias("ema"))
 
 
 def retained(df: DataFrame, time: str, order: list[str], newest: int, seconds: float | None = None, now=None) -> DataFrame:

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.plans.lineage import materialised
+
 
 def number(c: str) -> Column:
     x = F.col(c).cast("double")
     return F.when(~F.isnan(x), x)
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """column, quantiles: exact ones, interpolated between neighbours; null and NaN don't count.
+
+    Values are counted, dealt into ranges, and ranks are counted on from range to range: no task holds
+    more than a range of distinct values. A column without values has no row.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in columns))
+    counts = df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    # ranges are drawn from a sample: they are fixed before ranks are counted
+    dealt = materialised(counts.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("column", "part").agg(F.sum("n").alias("m"))
+    starts = starts.select("column", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy("column")).alias("total"))
+    inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("upto", F.sum("n").over(inside)).join(starts, ["column", "part"])
+    stop = F.col("start") + F.col("upto")
+    at = lambda k: F.max(F.when((stop - F.col("n") <= k) & (k < stop), F.col("value")))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    found = ranked.groupBy("column", "total").agg(*(f(place(p)).alias(f"{side}{i}") for i, p in enumerate(shares) for side, f in (("lo", lambda x: at(F.floor(x))), ("hi", lambda x: at(F.ceil(x))))))
+    values = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place(p) - F.floor(place(p))) for i, p in enumerate(shares)]
+    return found.select("column", F.array(*values).alias("quantiles"))
+
+
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, std (sample), min, quartiles (exact, interpolated) and max; null and NaN don't count."""
     stats = []
     for c in columns:
         x = number(c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max")))
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+        stats.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
+    rows = df.agg(F.array(*stats).alias("s")).select(F.inline("s")).join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column", "left")
+    q = [F.col("quantiles")[i].alias(f"q{s}") for i, s in enumerate((25, 50, 75))]
+    return rows.select("column", "count", "mean", "std", "min", *q, "max")
 
 
 def chunked_mean(df: DataFrame, column: str, position: str, size: int = 10_000) -> DataFrame:
