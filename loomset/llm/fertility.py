@@ -228,5 +228,6 @@ def filter_documents(documents: DataFrame, rules: Rules = Rules(), text: str = "
     def over(batches):
         for block in tb.blocks(batches, names[at_text]):
             yield from run(block)
+        tb.release()
 
     return documents.mapInArrow(over, schema)

@@ -5,6 +5,7 @@ Every function here works on one block of rows inside one task; Spark decides wh
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,5 +131,15 @@ def map_blocks(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], sch
     def run(batches):
         for block in blocks(batches, column, most):
             yield from fn(block)
+        release()
 
     return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives the memory that a task no longer needs back to the system: its Python worker is used again beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -54,7 +54,7 @@ def test_kept_bytes_equal_brute_force(spark):
     rows += [(200, None), (201, ""), (202, "a" * 400), (203, "a" * 399), (204, "ab" * 200), (205, rows[3][1]), (205, rows[3][1]), (206, "b" + "ab" * 150), (None, rows[5][1]), (207, rows[5][1][:49]), (-3, rows[7][1])]
     rows = [rows[k] for k in rnd.sample(range(len(rows)), len(rows))]
     df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, kept string").repartition(5)
-    for options in (S.Options(), S.Options(block=4000, bucket=3000), S.Options(length=30, gram=12)):
+    for options in (S.Options(), S.Options(part=5000, block=4000, bucket=3000), S.Options(part=3000, bucket=9000, hot=2), S.Options(length=30, gram=12, route=9, hot=1)):
         got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.kept_bytes(df, options).collect()], key=lambda r: (r[0] is None, r))
         assert got == brute(rows, options.length)
     assert S.kept_bytes(df.limit(0)).collect() == []
