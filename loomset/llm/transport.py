@@ -288,13 +288,17 @@ def access_points(media: DataFrame, key: str = "doc_id", column: str = "media")
     return media.select(F.col(key).alias("key"), column).mapInArrow(run, f"key {kind}, unit long, pts long, byte_offset long").withColumnRenamed("key", key)
 
 
-REPORT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+REPORT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, unit_pts array<long>, access_points array<struct<unit: long, pts: long, byte_offset: long>>"
+REPORT_TYPES = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "unit_pts": pa.list_(pa.int64()), "access_points": pa.list_(pa.struct([("unit", pa.int64()), ("pts", pa.int64()), ("byte_offset", pa.int64())])),
+}
 
 
 def report(documents: DataFrame, layout: Layout = Layout(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Packs each text, reads the stream back and gives digests of both, all within the row's task."""
+    """Packs each text, reads the stream back and gives digests of both, the time stamp of each access unit and the
+    random-access points with the bytes where they begin, all within the row's task."""
     source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(block: pa.RecordBatch):
         rows = []
@@ -303,7 +307,7 @@ def report(documents: DataFrame, layout: Layout = Layout(), key: str = "doc_id",
             media = mux(padded(raw, layout), layout)
             s = demux(media)
             got = s.payload
-            rows.append((len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
-        yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names=["key", *(f.split()[0] for f in REPORT.split(", "))])
+            rows.append((len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), s.pts, [dict(zip(("unit", "pts", "byte_offset"), a)) for a in s.access]))
+        yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), REPORT_TYPES.values()))], names=["key", *REPORT_TYPES])
 
     return tb.map_blocks(source, run, f"key {documents.schema[key].dataType.simpleString()}, {REPORT}").withColumnRenamed("key", key)

@@ -68,3 +68,65 @@ def test_report(spark, sf):
     points = T.access_points(media).collect()
     assert {p.unit % 8 for p in points} == {0} and {p.doc_id for p in points} == {10**6, 10**6 + 1, 10**6 + 2, None}
     assert T.report(more.limit(0)).collect() == []
+
+
+def by_hand(media):
+    """A plain reading of a stream, packet by packet: payload, (unit, time stamp, byte offset) of access points, and all time stamps."""
+    programs, stream, units, access, counters = {}, None, [], [], {}
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert len(p) == 188 and p[0] == 0x47
+        pid, start = int.from_bytes(p[1:3], "big") & 0x1FFF, bool(p[1] & 0x40)
+        body, random_access = 4, False
+        if p[3] & 0x20:
+            random_access = p[4] > 0 and bool(p[5] & 0x40)
+            body = 5 + p[4]
+        assert counters.setdefault(pid, p[3] & 15) == p[3] & 15
+        counters[pid] = (counters[pid] + 1) % 16
+        data = p[body:]
+        if pid == 0:
+            table = data[1 + data[0] :]
+            length = int.from_bytes(table[1:3], "big") & 0xFFF
+            assert table[0] == 0 and T.crc_mpeg(table[: 3 + length]) == 0  # a section with its CRC leaves nothing
+            programs[int.from_bytes(table[8:10], "big")] = int.from_bytes(table[10:12], "big") & 0x1FFF
+        elif pid in programs.values():
+            table = data[1 + data[0] :]
+            assert table[0] == 2
+            stream = int.from_bytes(table[13:15], "big") & 0x1FFF
+        elif pid == stream:
+            if start:
+                assert data[:3] == b"\0\0\1"
+                units.append(b"")
+                if random_access:
+                    access.append((len(units) - 1, at))
+            units[-1] += data
+    times, payload = [], b""
+    for u in units:
+        size, header = int.from_bytes(u[4:6], "big"), u[8]
+        b = u[9:14]
+        times.append((b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1)
+        payload += u[9 + header : 6 + size]
+    return payload, [(i, times[i], at) for i, at in access], times
+
+
+def test_a_plain_reader_finds_the_same(spark):
+    rnd = random.Random(3)
+    texts = ["", "x", "é" * 4000, "".join(rnd.choice("abc \n") for _ in range(70_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in T.report(df).collect():
+        payload, access, times = by_hand(T.mux(T.padded(texts[r.doc_id].encode())))
+        assert payload == T.padded(texts[r.doc_id].encode()) and hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        assert [tuple(a) for a in r.access_points] == access and r.unit_pts == times
+
+
+def test_fixed_bytes():
+    """One program, one packet of four bytes, written out."""
+    pat = bytes.fromhex("474000100000b00d0001c100000001f0002ab104b2")
+    assert T.PAT == pat[4:]
+    pes = bytes.fromhex("000001bd000c848005") + bytes.fromhex("2100016119") + b"abcd"  # PTS 12428 / 2 ticks apart from zero
+    head = bytes.fromhex("47410030") + bytes([183 - len(pes), 0x40])
+    packet = head + b"\xff" * (188 - len(head) - len(pes)) + pes
+    pmt = (b"\x47\x50\x00\x10" + T.PMT).ljust(188, b"\xff")
+    s = T.demux(pat.ljust(188, b"\xff") + pmt + packet)
+    assert (s.payload, s.programs, s.streams, s.gaps, s.bad_tables) == (b"abcd", {1: 0x1000}, {0x100: 6}, 0, 0)
+    assert s.pts == [(0x21 >> 1 & 7) << 30 | 0 << 22 | (1 >> 1) << 15 | 0x61 << 7 | 0x19 >> 1] == [12428] and s.access == [(0, 12428, 376)]
