@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: Spans that are laid out together.
+RUN = 128
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
@@ -20,7 +22,9 @@ def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
 
 
 def located(text: Column, hits: Column, pattern: str, kind: int) -> Column:
-    """Spans of `hits`, which matches(text, pattern) gave, from the lengths of the text's pieces between them."""
+    """Spans of `hits`, which matches(text, pattern) gave, from the lengths of the text's pieces between them.
+
+    Spans are counted from the start of runs of RUN of them first, so that many spans cost no more each."""
     pieces = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
 
@@ -31,7 +35,20 @@ def located(text: Column, hits: Column, pattern: str, kind: int) -> Column:
         return F.struct(F.coalesce(end, at).alias("at"), F.when(both["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
     both = F.zip_with(pieces, hits, lambda piece, hit: F.struct(piece.alias("piece"), hit.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+    run = lambda x, i: F.aggregate(F.slice(x, i * RUN + 1, F.lit(RUN)), start, step)
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda i: run(x, i))
+    moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+
+    def placed(rows: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(rows, 1, i), F.lit(0), lambda n, r: n + r["at"])
+        return F.flatten(F.transform(rows, lambda r, i: let(before(i), lambda by: F.transform(r["out"], lambda s: moved(s, by)))))
+
+    return F.when(F.size(hits) > 0, let(both, lambda x: let(runs(x), placed))).otherwise(F.expr(NONE))
+
+
+def let(value: Column, fn) -> Column:
+    """fn(value), with value computed once a row."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def written(spans: Column, kinds: list[str]) -> Column:

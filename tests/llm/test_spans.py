@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -58,12 +59,43 @@ def best_entropy(token, w):
 
 
 def test_window_entropy_equals_direct_counts(spark):
-    tokens = ["kZ8qLm3VxT0bRw7NcYp5", "a1" * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaab1", "0a1b2c3d4e5f60718293a4b5c6d7e8f9zzzzzzzzzzzzz"]
-    df = spark.createDataFrame([(t,) for t in tokens], "t string")
     from pyspark.sql import functions as F
 
-    for r in df.select("t", secrets.entropy(F.col("t"), 20).alias("h")).collect():
-        assert abs(r.h - best_entropy(r.t, 20)) < 1e-9
+    rnd = random.Random(6)
+    for w, (pattern, alphabet, _) in zip((20, 31, 5, 20), secrets.CLASSES):
+        tokens = ["".join(rnd.choice(alphabet[: rnd.randrange(1, len(alphabet) + 1)]) for _ in range(rnd.randrange(w, 80))) for _ in range(40)] + [alphabet[0] * 100, alphabet * 2]
+        for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.entropy(F.col("t"), alphabet, w).alias("h")).collect():
+            assert abs(r.h - best_entropy(r.t, w)) < 1e-9
+
+
+def test_many_spans_and_options_that_leave_base_spans_alone(spark):
+    text = " é ".join(["a" * 32, "deadbeef" * 5, "token=abcdefgh1"] * 700)
+    rows = [(0, text), (1, "0" * 39), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in (secrets.Scan(), secrets.Scan(least=40), secrets.Scan(window=10, bits=(9.0,) * 4)):
+        got = {r.doc_id: r for r in secrets.report(df, options).collect()}
+        for i, t in rows:
+            assert got[i].base_sha256 == sha(base_secrets(t), secrets.KINDS)
+        assert got[1].n_hex == 1 and got[0].n_assign == 700
+
+
+def test_found_beside_the_base_forms_by_class(spark):
+    """Planted keys of each class against the definition: the best window's entropy against the class's limit."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for i in range(300):
+        pattern, alphabet, _ = secrets.CLASSES[i % 4]
+        few = alphabet[: rnd.choice([4, 8, len(alphabet)])] + alphabet[-3:]
+        token = "".join(rnd.choice(few) for _ in range(rnd.randrange(20, 31))) + "7a"
+        token = token.replace("ab", "ba").strip("+/_=-") or "x"
+        rows.append((i, f"é see {token} there"))
+        kind = next(k for k, (p, _, _) in enumerate(secrets.CLASSES) if re.search(p, token))
+        base = base_secrets(rows[-1][1])
+        ok = len(token) >= 20 and re.search("[0-9]", token) and re.search("[A-Za-z]", token) and not any(re.search(p, token) for p in secrets.Scan().allow)
+        if ok and not base and best_entropy(token, 20) >= secrets.Scan().bits[kind]:
+            want[i] = f"entropy:6:{6 + len(token)}"
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if "entropy" in r.spans}
+    assert len(want) > 60 and got == want
 
 
 def test_entropy_adds_random_keys_and_spares_the_allow_list(spark):
