@@ -1,6 +1,7 @@
 """Personal data against plain regular expressions, and the bootstrap on a small corpus."""
 
 import hashlib
+import random
 import re
 
 from loomset.llm import pii
@@ -60,3 +61,66 @@ def test_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "x a@b.cd"), (1, "x a@b.cd"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_email) for r in pii.report(df).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert pii.report(df.limit(0)).collect() == []
+
+
+def brute_bootstrap(rows, o):
+    """Spans of kind id by plain loops over all documents."""
+    seen = []  # row, start, end, value, seed, patterns
+    word = lambda x: re.sub("[0-9]", "9", re.sub(r"\s+", " ", x).lower()).split()
+    for n, (_, t) in enumerate(rows):
+        t = t or ""
+        forms = [(s, e) for _, s, e in base(t)]
+        ids = [m.span() for m in re.finditer(pii.IDENTIFIER, t) if sum(c.isdigit() for c in m[0]) >= o.digits]
+        ids = [(s, e) for s, e in ids if not any(a < e and s < b for a, b in forms)]
+        for spans, seed in ((forms, True), (ids, False)):
+            for s, e in spans:
+                left, right = word(t[max(0, s - o.context) : s]), word(t[e : e + o.context])
+                patterns = {("l", *left[-k:]) for k in (1, 2) if len(left) >= k} | {("r", *right[:k]) for k in (1, 2) if len(right) >= k}
+                seen.append((n, s, e, t[s:e].lower(), seed, patterns))
+    edges = {(p, v) for *_, v, _, ps in seen for p in ps}
+    seeds = {v for *_, v, seed, _ in seen if seed}
+    sure = {v: 1.0 if v in seeds else 0.0 for *_, v, _, _ in seen}
+    for _ in range(o.rounds):
+        score = {}
+        for p in {p for p, _ in edges}:
+            values = [v for q, v in edges if q == p]
+            total = sum(sure[v] for v in values)
+            if total >= o.support - 1e-9 and total / (len(values) + 1) >= o.accept - 1e-9:
+                score[p] = total / (len(values) + 1)
+        for v in sure:
+            left = 1.0
+            for p, w in edges:
+                if w == v and p in score:
+                    left *= 1 - score[p]
+            sure[v] = max(float(v in seeds), 1 - left)
+    out = {}
+    for n, s, e, v, seed, _ in seen:
+        if not seed and v not in seeds and sure[v] >= o.accept:
+            out.setdefault(n, []).append(f"id:{s}:{e}")
+    return {n: sorted(x, key=lambda k: int(k.split(":")[1])) for n, x in out.items()}
+
+
+def test_bootstrap_equals_plain_loops(spark):
+    rnd = random.Random(9)
+    filler = ["alpha", "beta", "gamma", "delta", "of", "the"]
+    some = lambda k: [rnd.choice(filler) for _ in range(k)]
+    lead = {"mail": "reach me at", "phone": "call number", "staff": "staff member", "odd": "lot size"}
+    rows = []
+    for i in range(260):
+        kind = rnd.choice(["mail", "mail", "phone", "staff", "odd"])
+        value = {
+            "mail": f"user{i}@host{i % 7}.example.org", "phone": f"+49 30 {rnd.randrange(10**6, 10**7)}", "staff": rnd.choice([f"AB-{rnd.randrange(100, 10**4)}", f"{rnd.randrange(10**3)} {rnd.randrange(100, 1000)}"]), "odd": str(rnd.randrange(100, 400)),
+        }[kind]
+        if kind in ("mail", "phone") and rnd.random() < 0.12:
+            value = f"ID-{rnd.randrange(1000, 9000)}"  # no fixed form, but the context of one
+        end = "without delay" if kind in ("mail", "staff") else "per box"  # staff numbers share what follows mails
+        rows.append((i, " ".join([*some(4), lead[kind], value, end, *some(3)])))
+    rows += [(900, None), (901, ""), (902, "staff member 77 without delay"), (903, rows[0][1])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, value string, pattern int").repartition(3)
+    found = 0
+    for options in (pii.Bootstrap(), pii.Bootstrap(rounds=1, support=3.0, accept=0.6), pii.Bootstrap(digits=6)):
+        want = {rows[n][0]: x for n, x in brute_bootstrap(rows, options).items()}
+        got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("id:")] for r in pii.report(df, options).collect()}
+        assert {i: x for i, x in got.items() if x} == want
+        found += len(want)
+    assert found > 40
