@@ -7,7 +7,8 @@ decompress it alone. The index maps each record id to its bundle, its frame and
 
 Of pages with equal payloads of at least `least` bytes, the one with the largest page_id is a response;
 the others are revisits that refer to it and carry no payload. Payload groups may be of any size: they
-are counted by digest with partial sums, and only digests that occur twice are joined back.
+are counted by digest with partial sums, and only digests that occur twice are joined back; these are
+counted first and sent to all tasks where they are few, so that no payload is shuffled.
 
 Bundles are rows of a Parquet table (bundle_id, archive, and the index columns) in the shared folder, so
 that any store Spark can write to will do and a lost task is simply run again; `archive` alone is a
@@ -28,6 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomset.llm.cluster import cut
+
+#: Digests (some 100 bytes each) that are sent to all tasks at most.
+BROADCAST = 300_000
 SEEK_FRAME, SEEK_END = 0x184D2A5E, 0x8F92EAB1
 BUNDLE = "bundle_id string, archive binary, record_ids array<string>, frames array<int>, offsets array<long>, lengths array<long>"
 
@@ -105,7 +110,10 @@ def decided(pages: DataFrame, options: Options = Options(), key: str = "page_id"
     rows = rows.withColumn("digest", F.sha1("payload"))
     small = rows.select("page_id", "digest").where(F.octet_length("payload") >= options.least)
     groups = small.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
-    joined = rows.join(groups.select("digest", "top"), "digest", "left")
+    groups = cut(groups.select("digest", "top"))
+    if groups.count() <= BROADCAST:  # else payloads are dealt out by digest
+        groups = F.broadcast(groups)
+    joined = rows.join(groups, "digest", "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "digest", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
