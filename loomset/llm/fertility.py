@@ -1,10 +1,12 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary, made for ordinary writing, spends few tokens on ordinary text. Characters per
-token, the share of tokens that fall back to bytes and the entropy of a document's tokens therefore
-tell junk (encodings, symbol noise, shouting, loops) from prose. Bands differ by language, since one
-vocabulary splits some languages much finer than others; a document of another language is held
-against the bands of its script.
+A public vocabulary, made for ordinary writing, spends few tokens on ordinary text. Two are measured: one
+of pieces with byte fallback and one of bytes for many languages. Characters per token of both, the share
+of tokens that fall back to bytes and the entropy of a document's tokens tell junk (encodings, symbol
+noise, shouting, words of no language, loops) from prose: what one vocabulary spells as easily as prose,
+the other often doesn't. Bands differ by language, since a vocabulary splits some languages much finer than
+others; a document of another language is held against the bands of its script. Documents of few tokens
+vary more: below `min_tokens` bands widen with 1 / sqrt(tokens), so every document is judged.
 
 Each word is encoded alone, with the space before it: the vocabularies never join pieces across white
 space, so that gives the tokens of the whole text without its white space. One task encodes each
@@ -16,6 +18,7 @@ carried only by `filter_documents`; `fertility` returns its own columns, so name
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from loomset.llm import textbatch as tb
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: How that vocabulary cuts text before it joins bytes; a fixed value of the vocabulary.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, "
-    "token_entropy double, script string, base_failed boolean, reason string, kept boolean"
+    "token_entropy double, n_byte_tokens long, chars_per_byte_token double, script string, base_failed boolean, reason string, kept boolean"
 )
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -42,11 +48,13 @@ class Band:
     max_chars_per_token: float
     max_byte_share: float
     min_entropy: float
+    min_chars_per_byte_token: float
 
 
 @dataclass(frozen=True)
 class Rules:
     vocabulary: str = VOCABULARY
+    byte_vocabulary: str = BYTE_VOCABULARY
     min_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
@@ -54,13 +62,17 @@ class Rules:
     wider: float = 0.15  # by what share at a quarter of these tokens; it grows with 1 / sqrt(n)
     bands: dict = field(
         default_factory=lambda: {
-            "en": Band(1.85, 8.0, 0.10, 0.50),
-            "de": Band(1.80, 8.0, 0.10, 0.50),
-            "fr": Band(1.65, 8.0, 0.10, 0.50),
-            "es": Band(1.55, 8.0, 0.10, 0.50),
-            "latin": Band(1.40, 9.0, 0.15, 0.35),
-            "cyrillic": Band(1.30, 8.0, 0.25, 0.35),
-            "other": Band(0.30, 8.0, 1.00, 0.30),
+            "en": Band(1.85, 8.0, 0.10, 0.50, 1.88),
+            "de": Band(1.80, 8.0, 0.10, 0.50, 1.95),
+            "fr": Band(1.65, 8.0, 0.10, 0.50, 1.75),
+            "es": Band(1.55, 8.0, 0.10, 0.50, 1.80),
+            "latin": Band(1.40, 9.0, 0.15, 0.35, 1.30),
+            "greek": Band(0.70, 8.0, 0.50, 0.35, 0.40),
+            "cyrillic": Band(1.30, 8.0, 0.25, 0.35, 0.40),
+            "semitic": Band(0.50, 8.0, 0.90, 0.35, 0.40),
+            "kana and han": Band(0.30, 8.0, 1.00, 0.30, 0.25),
+            "hangul": Band(0.30, 8.0, 1.00, 0.30, 0.25),
+            "other": Band(0.20, 8.0, 1.00, 0.30, 0.20),
         }
     )
 
@@ -71,10 +83,21 @@ class Encoder:
     MOST = 400_000
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            model = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.is_byte = np.zeros(max(ranks.values()) + 1, bool)
+            self.is_byte[[r for t, r in ranks.items() if len(t) == 1 and t[0] >= 0x80]] = True
+            self.encode = lambda words: [model.encode_ordinary(f" {w}") for w in words]
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+            self.encode = lambda words: model.encode(words, num_threads=1)
         self.clear()
 
     def clear(self) -> None:
@@ -89,7 +112,7 @@ class Encoder:
         new = [i for i, k in enumerate(keys) if k not in self.at]
         if new:
             raw = data.tobytes()
-            found = self.model.encode([raw[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist())], num_threads=1)
+            found = self.encode([raw[s:e].decode() for s, e in zip(start[new].tolist(), end[new].tolist())])
             known = len(self.at)
             self.at.update(zip((keys[i] for i in new), range(known, known + len(new))))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -108,6 +131,17 @@ def ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(sizes.sum())) - first[which] + lo[which], which
 
 
+#: Scripts, and the first bytes of their letters in UTF-8.
+SCRIPTS = {"greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD3), "semitic": (0xD6, 0xDD), "other": (0xE0, 0xE2), "kana and han": (0xE3, 0xE9), "hangul": (0xEA, 0xED)}
+
+
+def scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The script that most of a text's letters are in; latin where there are as many of it."""
+    latin = tb.per_row(offsets, ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC3) & (data <= 0xC9))
+    counts = [latin, *(tb.per_row(offsets, (data >= lo) & (data <= hi)) for lo, hi in SCRIPTS.values())]
+    return np.array(["latin", *SCRIPTS])[np.argmax(counts, axis=0)]
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, encoder: Encoder, rules: Rules) -> dict[str, np.ndarray]:
     """The figures of each row of a block, by column."""
     words = tb.Words(data, offsets)
@@ -153,11 +187,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, encoder: Encoder, rules: Rule
         out["byte_share"] = np.where(n_tokens > 0, n_bytes / n_tokens, 0.0)
         out["token_entropy"] = np.round(np.where(n_tokens > 0, np.maximum(np.log2(np.maximum(n_tokens, 1)) - weight / np.maximum(n_tokens, 1), 0), 0.0), 9)
 
-    # the script most of a text's letters are in, by lead bytes
-    latin = tb.per_row(offsets, ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC3) & (data <= 0xC9))
-    cyrillic = tb.per_row(offsets, (data >= 0xD0) & (data <= 0xD3))
-    other = tb.per_row(offsets, heads & (data >= 0xD4))
-    out["script"] = np.where((latin >= cyrillic) & (latin >= other), "latin", np.where(cyrillic >= other, "cyrillic", "other"))
+    _, lo, hi = encoder_for(rules.byte_vocabulary).tokens(data, keys, words.start[at], words.end[at])
+    out["n_byte_tokens"] = np.bincount(words.row, (hi - lo)[back], minlength=rows).astype(np.int64)
+    out["chars_per_byte_token"] = out["word_chars"] / np.maximum(out["n_byte_tokens"], 1)
+    out["script"] = scripts(data, offsets)
     return out
 
 
@@ -165,11 +198,11 @@ def judge(m: dict[str, np.ndarray], langs: list, rules: Rules) -> None:
     """Adds base_failed, reason and kept."""
     base = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
     bands = [rules.bands.get(lang) or rules.bands.get(script) or rules.bands["other"] for lang, script in zip(langs, m["script"])]
-    low, high, most, least = (np.array([getattr(b, f.name) for b in bands], float) for f in Band.__dataclass_fields__.values())
+    low, high, most, least, low_bytes = (np.array([getattr(b, f.name) for b in bands], float) for f in Band.__dataclass_fields__.values())
     # the fewer tokens, the more figures vary: no wider from min_tokens on
     some, n = m["n_tokens"] > 0, np.maximum(m["n_tokens"], 1)
     wider = 1 + rules.wider * np.maximum(np.sqrt(rules.min_tokens / n) - 1, 0)
-    low, least, high, most = low / wider, least / wider, high * wider, most * wider
+    low, low_bytes, least, high, most = low / wider, low_bytes / wider, least / wider, high * wider, most * wider
     # n tokens have log2(n) bits at most, and prose of any length little more than a dozen
     room = np.minimum(np.log2(np.maximum(m["n_tokens"], 2)), 12.0)
     why = np.full(len(base), None, object)
@@ -177,6 +210,7 @@ def judge(m: dict[str, np.ndarray], langs: list, rules: Rules) -> None:
         ("token entropy", some & (m["token_entropy"] < least * room)),
         ("byte fallback", some & (m["byte_share"] > most)),
         ("characters per token, high", some & (m["chars_per_token"] > high)),
+        ("characters per byte token, low", some & (m["chars_per_byte_token"] < low_bytes)),
         ("characters per token, low", some & (m["chars_per_token"] < low)),
         ("repeated words", 100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"]),
         ("few words", m["n_words"] < rules.min_words),

@@ -1,15 +1,19 @@
 """Fertility figures against direct computation."""
 
+import base64
 import math
 import random
 import re
 from collections import Counter
 
 import sentencepiece
+import tiktoken
 
 from loomset.llm import fertility
 
-FIXED = [None, "", "   \n\t", "one", "a b c d e f g h " * 20, "x\ny\nx\n\nx \nx\r\nx", "#*$ | <> %&", "é" * 5000, "日本 " * 40, "ein zwei drei vier fünf sechs sieben acht neun zehn " * 3, "w" * 150_000]
+with open(fertility.BYTE_VOCABULARY, "rb") as f:
+    BYTES = tiktoken.Encoding("test", pat_str=fertility.BYTE_PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+FIXED = [None, "", "   \n\t", "one", "a b c d e f g h " * 20, "x\ny\nx\n\nx \nx\r\nx", "#*$ | <> %&", "é" * 5000, "日本 " * 40, "ελλάδα και " * 30, "мир и дом " * 30, "שלום עולם " * 9, "한국어 문장 " * 9, "हिन्दी में " * 9, "ein zwei drei vier fünf sechs sieben acht neun zehn " * 3, "w" * 150_000]
 
 
 def expected(text, sp):
@@ -31,6 +35,20 @@ def expected(text, sp):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(cover), n, bits, sum(sp.is_byte(t) for t in tokens) / n if n else 0.0
 
 
+def byte_tokens(text):
+    return sum(len(BYTES.encode_ordinary(f" {w}")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def script_of(text):
+    n = dict.fromkeys(["latin", *fertility.SCRIPTS], 0)
+    for c in text or "":
+        first = c.encode()[0]
+        n["latin"] += c.isascii() and c.isalpha() or 0xC3 <= first <= 0xC9
+        for name, (lo, hi) in fertility.SCRIPTS.items():
+            n[name] += lo <= first <= hi
+    return max(n, key=n.get)
+
+
 def test_figures_equal_direct_computation(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARY)
     texts = FIXED + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
@@ -41,6 +59,7 @@ def test_figures_equal_direct_computation(spark, sf):
         r, want = rows[i], expected(t, sp)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_tokens) == want[:6], (i, r, want)
         assert abs(r.token_entropy - want[6]) < 1e-6 and abs(r.byte_share - want[7]) < 1e-9
+        assert (r.n_byte_tokens, r.script) == (byte_tokens(t), script_of(t))
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert r.kept == (r.reason is None) and not (r.base_failed and r.kept)
 
@@ -52,6 +71,14 @@ def test_labelled_good_documents_are_kept(spark):
     assert n > 100 and lost <= 0.01 * n
 
 
+def test_labelled_junk_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = fertility.fertility(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    good, bad = rows.where("quality = 1"), rows.where("quality = 0")
+    assert good.where("not kept").count() <= 0.005 * good.count()
+    assert bad.where("not kept").count() >= 0.4 * bad.count()
+
+
 def test_filter_keeps_columns_whatever_their_names(spark):
     df = spark.createDataFrame([("d", 1, "few words", None), ("d", 2, " ".join(f"word{i}" for i in range(60)), "x")], "n_words string, doc_id long, text string, kept string")
     got = fertility.filter_documents(df)
