@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from loomset.plans.lineage import shared
+
+__all__ = ["cut", "narrow", "shared"]
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Writes df to the shared folder of spark.checkpoint.dir and returns what reads it back.
 
-    Where the session names no folder (tests, a laptop) a temporary one is set.
+    Where the session names no folder (tests, a laptop) a temporary one is set; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -22,8 +24,3 @@ def narrow(df: DataFrame, rows: int = 2000) -> DataFrame:
     """cut(df) in no more partitions than one for each `rows` rows, so that few rows don't pass through many files."""
     df = cut(df)
     return df.coalesce(-(-df.count() // rows) or 1)
-
-
-def shared(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or "file://" + tempfile.mkdtemp(prefix="loomset-")
