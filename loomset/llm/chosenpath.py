@@ -10,13 +10,18 @@ a 128-bit digest of the sorted set), so a group of exact copies costs one row. B
    drawn coordinate.
 2. A child of one class ends there. A child of at most `leaf` classes is compared. A larger one is
    branched again, on coordinates drawn for that child, down to `depth`. Classes that agree all the
-   way down are dealt into blocks, each with the same few pivots of their node.
-3. A leaf is compared exhaustively by marks. Of the pairs that may be linked it gives those of a
-   spanning forest, the likeliest first: a group of n near copies gives n - 1 pairs a leaf, not n squared.
-4. Pairs are confirmed on the full sets: first the likeliest pair of each class, then those whose two
-   classes the confirmed links have not joined. With the components of these links the leaves are
-   compared again, and every pair across components that may be linked is confirmed too. So a pair is
-   left out only where its classes are joined already.
+   way down are mostly near copies of each other: they are dealt into blocks, each with the same few
+   pivots of their node. Once the links found so far have been drawn together, what is outside such a
+   node's largest component is compared with all of the node, in tasks of bounded size: so no pair of
+   a node goes uncompared, whatever its size.
+3. A leaf is compared exhaustively by marks. At first each class names one partner: among those that
+   are like it beyond doubt the one of smallest hash, so that a group of near copies draws together
+   around a few of them; else the likeliest of a spanning forest. That is at most one pair a class.
+4. Pairs are confirmed on the full sets. With the components of the confirmed links the leaves are
+   compared again: one pair for each two components that may be linked. With those joined, the classes
+   that may still be linked across components come to their leaves with their whole sets, and every such
+   pair is compared there. So a pair is left out only where its classes are joined already, and what is
+   sent grows with the classes in a leaf, not with its pairs.
 5. Links give components: smallest label, by hooking and pointer jumping over Spark joins.
 
 Two sets of similarity s meet in one tree's first level with probability 1 - exp(-s / threshold) or
@@ -130,45 +135,122 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
 LOW_BITS = np.uint64(0x5555555555555555)
 
 
-def compare(ids: np.ndarray, marks: np.ndarray, groups: np.ndarray | None, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a leaf's classes to confirm, and the similarity that their marks tell: one in four unlike marks agrees too.
-
-    Without groups: a spanning forest of the pairs that may be linked. With them: all such pairs across groups.
-    """
-    n = len(ids)
+def likely(marks: np.ndarray, lead: np.ndarray, groups: np.ndarray | None, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (as positions) of a leaf's leads with all others that may be linked, across groups where there are some, and
+    the similarity that their marks tell: one in four unlike marks agrees too."""
+    order = np.concatenate([np.flatnonzero(lead), np.flatnonzero(~lead)])
+    marks, least = marks[order], join.percent / 100 - join.slack
+    apart = None if groups is None else groups[order]
     a, b, shares = [], [], []
-    for i in range(n - 1):
+    for i in range(min(int(lead.sum()), len(order) - 1)):
         differ = marks[i + 1 :] ^ marks[i]
         differ = np.bitwise_count((differ | differ >> np.uint64(1)) & LOW_BITS).sum(axis=1, dtype=np.int64)
         share = 1 - differ / (0.75 * join.marks)
-        at = np.flatnonzero((share >= join.percent / 100 - join.slack) & (True if groups is None else groups[i + 1 :] != groups[i]))
+        at = np.flatnonzero((share >= least) & (True if apart is None else apart[i + 1 :] != apart[i]))
         a.append(np.full(len(at), i))
         b.append(at + i + 1)
         shares.append(share[at])
-    a, b, share = np.concatenate(a), np.concatenate(b), np.concatenate(shares)
-    if groups is None and len(a) > 1:
-        root = list(range(n))
-        keep = []
-        for k in np.argsort(-share, kind="stable").tolist():
-            x, y = int(a[k]), int(b[k])
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            while root[y] != y:
-                root[y] = root[root[y]]
-                y = root[y]
-            if x != y:
-                root[x] = y
-                keep.append(k)
-                if len(keep) == n - 1:
-                    break
-        a, b, share = a[keep], b[keep], share[keep]
-    return ids[a], ids[b], share
+    none = np.zeros(0, np.int64)
+    a, b, share = np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([np.zeros(0), *shares])
+    return order[a], order[b], share
+
+
+def forest(a: list[int], b: list[int], root: list[int]) -> list[int]:
+    """Which pairs, in order, join what the ones before them left apart; root: a parent for each item, changed here."""
+    keep = []
+    for k, (x, y) in enumerate(zip(a, b)):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return keep
+
+
+def partners(ids: np.ndarray, marks: np.ndarray, lead: np.ndarray, groups: None, join: Join) -> tuple[np.ndarray, ...]:
+    """For a leaf's classes a the partners b that they name, and how late these come (smallest first)."""
+    a, b, share = likely(marks, lead, None, join)
+    hashed = tb.mix(ids.view(np.uint64))
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(hashed, kind="stable")] = np.arange(len(ids))
+    sure = share >= join.percent / 100 + join.slack
+    child, parent = np.where(rank[a] > rank[b], a, b)[sure], np.where(rank[a] > rank[b], b, a)[sure]
+    best = np.full(len(ids), len(ids))
+    np.minimum.at(best, child, rank[parent])
+    child = np.flatnonzero(best < len(ids))
+    parent = np.argsort(rank)[best[child]]
+    root = np.arange(len(ids))
+    root[child] = parent
+    unsure = np.flatnonzero(~sure)
+    unsure = unsure[np.argsort(-share[unsure], kind="stable")]
+    kept = unsure[forest(a[unsure].tolist(), b[unsure].tolist(), root.tolist())]
+    one, other = np.concatenate([child, a[kept], b[kept]]), np.concatenate([parent, b[kept], a[kept]])
+    late = np.concatenate([hashed[parent] / 2.0**64 - 2, -share[kept], -share[kept]])
+    return ids[one], ids[other], late
+
+
+def bridges(ids: np.ndarray, marks: np.ndarray, lead: np.ndarray, groups: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
+    """Components x < y of a leaf that may be linked, and the likeliest pair (a, b) of each two that a spanning forest takes."""
+    a, b, share = likely(marks, lead, groups, join)
+    order = np.argsort(-share, kind="stable")
+    a, b, share = a[order], b[order], share[order]
+    _, where = np.unique(groups, return_inverse=True)
+    kept = forest(where[a].tolist(), where[b].tolist(), list(range(int(where.max(initial=0)) + 1)))
+    return ordered(ids, groups, a[kept], b[kept], share[kept])
+
+
+def ordered(ids: np.ndarray, groups: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, ...]:
+    a, b = np.where(groups[a] < groups[b], a, b), np.where(groups[a] < groups[b], b, a)
+    return groups[a], groups[b], ids[a], ids[b], share
+
+
+def entangled(ids: np.ndarray, marks: np.ndarray, lead: np.ndarray, groups: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
+    """The classes of a leaf that may be linked across components: id, lead, component."""
+    a, b, _ = likely(marks, lead, groups, join)
+    some = np.zeros(len(ids), bool)
+    some[a] = some[b] = True
+    return ids[some], lead[some], groups[some]
+
+
+def verified(ids: np.ndarray, sets: list[np.ndarray], lead: np.ndarray, groups: np.ndarray, join: Join) -> tuple[np.ndarray, ...]:
+    """As `bridges`, by the leaf's whole sets (of 32-bit hashes): pairs of leads with all others, exhaustively."""
+    size = np.array([len(x) for x in sets])
+    order = np.concatenate([np.flatnonzero(lead), np.flatnonzero(~lead)])
+    flat, owner = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), size[order])
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    n, leads = len(order), int(lead.sum())
+    same = np.zeros((leads, n), np.float32)
+    often = times[at] > 1  # a shingle of one set is in no intersection
+    owner, at = owner[often], np.unique(at[often], return_inverse=True)[1]
+    width = max(256, (1 << 22) // n)
+    by = np.argsort(at, kind="stable")
+    owner, at = owner[by], at[by]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, [lo, lo + width])
+        has = np.zeros((n, width), np.float32)
+        has[owner[i:j], at[i:j] - lo] = 1
+        same += has[:leads] @ has.T
+    either = size[order][:leads, None] + size[order][None, :] - same
+    # two shingles of a set may have one 32-bit hash; links are confirmed afterwards
+    like = (100 * (same + 1) >= join.percent * (either - 1)) & (same > 0) & (groups[order][:leads, None] != groups[order][None, :])
+    a, b = np.nonzero(like)
+    share = (same[a, b] / either[a, b]).astype(float)
+    a, b = order[a], order[b]
+    best = np.argsort(-share, kind="stable")
+    a, b, share = a[best], b[best], share[best]
+    _, where = np.unique(groups, return_inverse=True)
+    kept = forest(where[a].tolist(), where[b].tolist(), list(range(int(where.max()) + 1)))
+    return ordered(ids, groups, a[kept], b[kept], share[kept])
 
 
 #: Ids that are sent to all executors at most (16 MB of them).
 BROADCAST = 2_000_000
-PAIR = "a long, b long, share double"
+PARTNER = "a long, b long, late double"
+CROSSING = "x long, y long, a long, b long, share double"
 
 
 def branch(join: Join):
@@ -198,19 +280,23 @@ def branch(join: Join):
     return run
 
 
-def leaves(join: Join, grouped: bool):
-    """mapInArrow function: from rows (id, path, marks, component) sorted by path, the pairs of each leaf."""
+def leaves(join: Join, find, names: list[str]):
+    """mapInArrow function: from rows (id, path, lead, what, component) sorted by path, what `find` gives for each leaf, and its path if asked.
+
+    what: marks, or for `verified` sets."""
 
-    def pairs(table: pa.Table):
+    def found(table: pa.Table):
         table = table.combine_chunks()
-        paths, ids, marks = table["path"].to_numpy(), table["id"].to_numpy(), matrix(table["marks"], np.uint64)
-        groups = table["component"].to_numpy() if grouped else None
+        paths, ids, lead, groups = (table[c].to_numpy() for c in ("path", "id", "lead", "component"))
+        what = [np.frombuffer(x, "<u4") for x in table["what"].to_pylist()] if find is verified else matrix(table["what"], np.uint64)
         bounds = [0, *(np.flatnonzero(np.diff(paths)) + 1).tolist(), len(ids)]
-        found = [compare(ids[lo:hi], marks[lo:hi], groups[lo:hi] if grouped else None, join) for lo, hi in zip(bounds, bounds[1:]) if hi - lo > 1]
-        if found:
-            a, b, share = (np.concatenate(x) for x in zip(*found))
-            keep = a != b
-            yield pa.record_batch([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(share[keep])], names=["a", "b", "share"])
+        rows = []
+        for lo, hi in zip(bounds, bounds[1:]):
+            if hi - lo > 1:
+                got = find(ids[lo:hi], what[lo:hi], lead[lo:hi], groups[lo:hi], join)
+                rows.append((*got, np.full(len(got[0]), paths[lo])) if "path" in names else got)
+        if rows:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*rows)], names=names)
 
     def run(batches):
         rest: list[pa.RecordBatch] = []
@@ -221,47 +307,73 @@ def leaves(join: Join, grouped: bool):
             paths = table["path"].to_numpy()
             before = np.flatnonzero(paths != paths[-1])
             at = int(before[-1]) + 1 if len(before) else 0
-            yield from pairs(table.slice(0, at))
+            yield from found(table.slice(0, at))
             rest = table.slice(at).combine_chunks().to_batches()
         if rest:
-            yield from pairs(pa.Table.from_batches(rest))
+            yield from found(pa.Table.from_batches(rest))
+        tb.release()
 
     return run
 
 
-def leaf_rows(classes: DataFrame, join: Join) -> DataFrame:
-    """(id, path) of the leaves with two classes or more. classes: id long (unique), vals binary, marks binary."""
+def leaf_rows(classes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
+    """(id, path) of the leaves with two classes or more, and (id, path, n) of nodes that stayed large, if any.
+
+    classes: id long (unique), vals binary, marks binary."""
     child = "id long, tree int, path long"
     values = classes.select("id", "vals")
     nodes = values.select("id", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("path"), "vals").mapInArrow(branch(join), child)
-    small = []
+    small, large = [], None
     for level in range(join.depth):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         kept = cut(nodes.join(sizes, "path"))
         small.append(kept.where(F.col("n") <= join.leaf).select("id", "path"))
         large = kept.where(F.col("n") > join.leaf)
         if large.isEmpty():
+            large = None
             break
-        if level + 1 == join.depth:
-            small.append(dealt(large, join))
-        else:
+        if level + 1 < join.depth:
             nodes = large.join(values, "id").select("id", "tree", "path", "vals").mapInArrow(branch(join), child)
     rows = small[0]
     for more in small[1:]:
         rows = rows.unionByName(more)
-    return rows
+    return rows, large
+
 
+def compared(rows: DataFrame, what: DataFrame, join: Join, find, schema: str) -> DataFrame:
+    """What `find` gives for the leaves of rows (id, path, lead, component). what: id, what."""
+    rows = rows.join(what, "id").select("id", "path", "lead", "what", "component").repartition("path").sortWithinPartitions("path")
+    return rows.mapInArrow(leaves(join, find, [f.split()[0] for f in schema.split(", ")]), schema)
 
-def candidates(rows: DataFrame, classes: DataFrame, join: Join, groups: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, share), a < b, that the leaves give to confirm; with groups (id, component) only those across them."""
-    if groups is None:
-        rows = rows.withColumn("component", F.lit(0))
-    else:
-        rows = rows.join(groups, "id", "left").select("id", "path", F.coalesce("component", "id").alias("component"))
-        mixed = rows.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rows = rows.join(mixed.select("path"), "path", "left_semi")
-    rows = rows.join(classes.select("id", "marks"), "id").select("id", "path", "marks", "component").repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(leaves(join, groups is not None), PAIR).groupBy("a", "b").agg(F.max("share").alias("share"))
+
+def mixed(rows: DataFrame, large: DataFrame | None, groups: DataFrame, join: Join) -> DataFrame:
+    """(id, path, lead, component) of the leaves that hold several components, and of large nodes in parts.
+
+    In a large node the classes outside its largest component are leads: blocks of `leaf` of them meet parts of
+    about leaf * leaf of the node's other classes."""
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    rows = labelled(rows)
+    several = rows.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    out = rows.join(several.select("path"), "path", "left_semi").select("id", "path", F.lit(True).alias("lead"), "component")
+    if large is None:
+        return out
+    nodes = cut(labelled(large).select("id", "path", "component"))
+    counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
+    heads = counts.groupBy("path").agg(F.max_by("component", "n").alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    heads = heads.where("others > 0").select("path", "head", F.ceil(F.col("others") / join.leaf).cast("int").alias("blocks"), F.ceil(F.col("n") / join.leaf**2).cast("int").alias("parts"))
+    rows = nodes.join(heads, "path").withColumn("lead", F.col("component") != F.col("head"))
+    of = lambda n: F.pmod(F.xxhash64("id", "path"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cells = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("block"), y.alias("part")))))
+    # a lead stands in its block's cells as a lead, and in its part's cells of the later blocks as one of the others
+    leads = rows.where("lead").select("id", "path", "component", "lead", F.explode(cells(F.array(of("blocks")), every("parts"))).alias("cell"))
+    later = rows.where("lead").select("id", "path", "component", F.lit(False).alias("lead"), F.explode(cells(F.filter(every("blocks"), lambda x: x < of("blocks")), F.array(of("parts")))).alias("cell"))
+    rest = rows.where("not lead").select("id", "path", "component", "lead", F.explode(cells(every("blocks"), F.array(of("parts")))).alias("cell"))
+    parts = leads.unionByName(later).unionByName(rest)
+    return out.unionByName(parts.select("id", F.xxhash64("path", "cell.block", "cell.part", F.lit(1)).alias("path"), "lead", "component"))
 
 
 def dealt(large: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
@@ -274,64 +386,76 @@ def dealt(large: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
     return members.unionByName(each.select("id", "path", F.explode("all").alias("block")).select("id", leaf(F.col("block")))).distinct()
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, join: Join) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union.
-
-    documents: doc_id long, text string. The sets of documents in pairs are moved, once for each side,
-    as 64-bit hashes of their shingles.
-    """
-    asked = narrow(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def sets_of(asked: DataFrame, documents: DataFrame, join: Join, kind: str) -> DataFrame:
+    """doc_id, members: the sets of the documents asked for (doc_id), as hashes of shingles of 64 bits (<u8) or 32 (<u4)."""
+    asked = narrow(asked.distinct())
     if asked.count() <= BROADCAST:  # else both sides are dealt out by id
         asked = F.broadcast(asked)
 
     def run(block):
         sets, ends = shingle_sets(*tb.utf8(block.column(1)), join.shingle)
-        raw, at = sets.astype("<u8").tobytes(), (ends * 8).tolist()
+        if kind == "<u4":
+            sets = sets >> np.uint64(32)
+        raw, at = sets.astype(kind).tobytes(), (ends * int(kind[-1])).tolist()
         yield pa.record_batch([block.column(0), pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=["doc_id", "members"])
 
     texts = documents.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = tb.map_blocks(texts.select("doc_id", "text"), run, "doc_id long, members binary")
+    return tb.map_blocks(texts.select("doc_id", "text"), run, "doc_id long, members binary")
+
+
+def confirm(pairs: DataFrame, documents: DataFrame, join: Join) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union.
+
+    pairs: a, b and other columns. documents: doc_id long, text string. The sets of documents in pairs are
+    moved, once for each side, as 64-bit hashes of their shingles.
+    """
+    names, n = pairs.columns, len(pairs.columns)
+    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), documents, join, "<u8")
 
     def check(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (x, y) in enumerate(zip(batch.column(n), batch.column(n + 1))):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = np.concatenate([x, y])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep[i] = same > 0 and 100 * same >= join.percent * (len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pa.array(keep))
 
-def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose two ids are in no common group."""
-    label = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"{x}_in"))
-    both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    return both.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(pairs.columns)
+    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select(*names, "left", "right").mapInArrow(check, ", ".join(f"{c} long" for c in names))
 
 
 def linked(classes: DataFrame, documents: DataFrame, join: Join) -> DataFrame:
     """id, component of the classes that confirmed links join. Cuts its steps into the shared folder."""
-    rows = leaf_rows(classes, join)
-    pairs = narrow(candidates(rows, classes, join))
-    ends = pairs.select(F.col("a").alias("id"), "a", "b", "share").unionByName(pairs.select(F.col("b").alias("id"), "a", "b", "share"))
-    best = ends.groupBy("id").agg(F.max(F.struct("share", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
-    links = narrow(confirm(best, documents, join))
-    groups = components(links)
-    tried = pairs.select("a", "b")
-    for _ in range(2):
-        more = narrow(confirm(narrow(across(tried.join(best, ["a", "b"], "left_anti"), groups)), documents, join))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = components(links)
-        # once more for the pairs across components that the forests left out
-        best, tried = tried.unionByName(best).distinct(), candidates(rows, classes, join, groups).select("a", "b")
-    return groups
+    rows, large = leaf_rows(classes, join)
+    marks = classes.select("id", F.col("marks").alias("what"))
+    first = rows if large is None else rows.unionByName(dealt(large, join))
+    first = first.select("id", "path", F.lit(True).alias("lead"), F.lit(0).cast("long").alias("component"))
+    named = compared(first, marks, join, partners, PARTNER).groupBy("a").agg(F.min(F.struct("late", "b")).alias("top"))
+    pairs = narrow(named.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct())
+    groups = components(confirm(pairs, documents, join))
+
+    def joined(crossing: DataFrame) -> DataFrame:
+        best = crossing.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("top"))
+        links = narrow(confirm(narrow(best.select("x", "y", "top.a", "top.b")), documents, join))
+        return groups if links.isEmpty() else moved(groups, components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+
+    groups = joined(compared(mixed(rows, large, groups, join), marks, join, bridges, CROSSING))
+    open_rows = cut(compared(mixed(rows, large, groups, join), marks, join, entangled, "id long, lead boolean, component long, path long"))
+    if open_rows.isEmpty():
+        return groups
+    sets = sets_of(open_rows.select(F.col("id").alias("doc_id")), documents, join, "<u4").select(F.col("doc_id").alias("id"), F.col("members").alias("what"))
+    return joined(compared(open_rows, sets, join, verified, CROSSING))
+
+
+def moved(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """groups (id, component) after their components were drawn together by parts (id: a component, component: its new one)."""
+    every = groups.unionByName(parts.select("id", F.col("id").alias("component"))).distinct()
+    to = parts.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return narrow(every.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -348,10 +472,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         far = both.join(labels.select(F.col("id").alias("y"), "label"), "y").coalesce(few).groupBy("x").agg(F.min("label").alias("near"))
         hooked = labels.join(far, labels.id == far.x).select("id", "label", F.least("label", "near").alias("next")).coalesce(few)
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("further"))
-        moved = hooked.join(jump, "next").select("id", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved"))
-        moved = narrow(moved)
-        labels = moved.select("id", "label")
-        if moved.where("moved").isEmpty():
+        settled = cut(hooked.join(jump, "next").select("id", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved")).coalesce(few))
+        labels = settled.select("id", "label")
+        if settled.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {most} rounds")
 
