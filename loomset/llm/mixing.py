@@ -140,8 +140,8 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str
     """The documents of the mix with their own columns, each as often as it is taken."""
     names = documents.columns
     own = [f"__loom_{i}" for i in range(len(names))]
-    rows = measured(documents, mix, key, text, source)
+    named = dict(zip(names, own))
+    rows = measured(documents.select(*(F.col(n).alias(o) for n, o in zip(names, own))), mix, named[key], named[text], named[source])
     small = cut(rows.select(F.col("__loom_source").alias("source"), F.col("__loom_size").alias("size"), F.col("__loom_key").alias("key")))
-    rows = rows.select(*(F.col(n).alias(o) for n, o in zip(names, own)), "__loom_source", "__loom_size", "__loom_key")
     rows = timed(rows, *plan(small, mix), "__loom_source", "__loom_size", "__loom_key")
     return rows.where("__loom_times > 0").withColumn("__loom_copy", F.explode(F.sequence(F.lit(1), F.col("__loom_times")))).select(*(F.col(o).alias(n) for n, o in zip(names, own)))
