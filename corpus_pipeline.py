@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("minhash near-dedup", near_dedup), ("secret scan", secret_scan), ("mix sources", mix), ("sentencepiece", encode)]
 
-#: No SQL: the tokeniser and the sampled segmentations can't be expressed. tests/llm checks it by brute force.
+#: No SQL: the tokeniser and the sampled segmentations can't be expressed. tests/llm/test_pipeline.py holds all stages against plain Python.
 ORACLE_SQL = None
 
 
