@@ -70,10 +70,10 @@ class Plan:
         return x >> np.uint64(self.shift)
 
 
-def planned(texts: DataFrame, part: int, bucket: int) -> Plan:
-    """texts: text string. part and bucket: bytes of text for each."""
+def planned(texts: DataFrame, part: int, bucket: int, spare: int = 8) -> Plan:
+    """texts: text string. part and bucket: bytes of text for each. spare: bits of a mark beyond those that the text's bytes need."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return Plan(max(1, -(-total // part)), max(8, -(-total // bucket)), 64 - min(64, max(16, total.bit_length() + 8)))
+    return Plan(max(1, -(-total // part)), max(8, -(-total // bucket)), 64 - min(64, max(16, total.bit_length() + spare)))
 
 
 def dealt(rows: DataFrame, part: Column, plan: Plan) -> DataFrame:
