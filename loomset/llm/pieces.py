@@ -33,7 +33,7 @@ from loomset.llm import textbatch as tb
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-FIELDS = "sample int, n_tokens long, ids binary, log_prob double, perturbed double, log_inclusion double"
+FIELDS = "sample int, n_tokens long, ids binary, log_prob double, perturbed double, log_inclusion double, decodes boolean"
 
 
 @dataclass(frozen=True)
@@ -430,23 +430,38 @@ class Block:
         return out, np.concatenate([[0], ends])[path.bounds]
 
 
+def decoding(ids: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The text of each row of packed ids."""
+    flat = np.frombuffer(b"".join(ids), "<u2" if len(v.bytes) <= 1 << 16 else "<u4").astype(np.int64)
+    sizes = v.sizes[flat]
+    ends = np.cumsum(sizes)
+    whole = v.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(v.at[flat] - (ends - sizes), sizes)].tobytes()
+    width = 2 if len(v.bytes) <= 1 << 16 else 4
+    tokens = np.cumsum([0, *(len(x) // width for x in ids)])
+    bounds = np.append(0, ends)[tokens].tolist()
+    return [whole[a:b][1:] for a, b in zip(bounds, bounds[1:])]  # the first piece begins with a space
+
+
 def sample(documents: DataFrame, options: Sampling = Sampling(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document up to k rows: key, sample (1 is the largest perturbed value), n_tokens, ids
     (little-endian 16-bit numbers), log_prob, perturbed and log_inclusion: the log probability that a
-    segmentation of this log_prob beats the first perturbed value left out (0 if none is left)."""
+    segmentation of this log_prob beats the first perturbed value left out (0 if none is left); decodes: whether
+    the ids, decoded, are the text again."""
     kind = documents.schema[key].dataType.simpleString()
     source = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key), F.lit(options.seed)).alias("seed"))
 
     def run(block: pa.RecordBatch):
         data, offsets = tb.utf8(block.column(1))
         v, seeds = vocabulary_for(options.vocabulary, options.theta), block.column(2).to_numpy().view(np.uint64)
-        units = Units(data, offsets, v)
+        units, raw = Units(data, offsets, v), data.tobytes()
         lo = 0
         while lo < block.num_rows:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + options.part, "right")) - 1)
             got = Block(units, lo, hi, seeds, v, options).result()
-            row = pa.array(got.pop("row"), pa.int64())
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+            rows = got.pop("row")
+            got["decodes"] = [t == raw[offsets[lo + r] : offsets[lo + r + 1]] for r, t in zip(rows, decoding(got["ids"], v))]
+            row = pa.array(rows, pa.int64())
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([block.column(0).slice(lo, hi - lo).take(row), *(pa.array(x, t) for x, t in zip(got.values(), types))], names=["key", *got])
             lo = hi
 
