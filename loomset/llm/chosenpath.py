@@ -226,10 +226,11 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], lead: np.ndarray, groups:
     same = np.zeros((leads, n), np.float32)
     often = times[at] > 1  # a shingle of one set is in no intersection
     owner, at = owner[often], np.unique(at[often], return_inverse=True)[1]
-    width = max(256, (1 << 22) // n)
     by = np.argsort(at, kind="stable")
     owner, at = owner[by], at[by]
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+    columns = int(at[-1]) + 1 if len(at) else 0
+    width = min(max(256, (1 << 22) // n), columns)
+    for lo in range(0, columns, max(width, 1)):
         i, j = np.searchsorted(at, [lo, lo + width])
         has = np.zeros((n, width), np.float32)
         has[owner[i:j], at[i:j] - lo] = 1
@@ -349,7 +350,7 @@ def compared(rows: DataFrame, what: DataFrame, join: Join, find, schema: str) ->
 def mixed(rows: DataFrame, large: DataFrame | None, groups: DataFrame, join: Join) -> DataFrame:
     """(id, path, lead, component) of the leaves that hold several components, and of large nodes in parts.
 
-    In a large node the classes outside its largest component are leads: blocks of `leaf` of them meet parts of
+    In a large node the classes outside its largest component are leads: blocks of 8 * leaf of them meet parts of
     about leaf * leaf of the node's other classes."""
 
     def labelled(df: DataFrame) -> DataFrame:
@@ -363,7 +364,7 @@ def mixed(rows: DataFrame, large: DataFrame | None, groups: DataFrame, join: Joi
     nodes = cut(labelled(large).select("id", "path", "component"))
     counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
     heads = counts.groupBy("path").agg(F.max_by("component", "n").alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
-    heads = heads.where("others > 0").select("path", "head", F.ceil(F.col("others") / join.leaf).cast("int").alias("blocks"), F.ceil(F.col("n") / join.leaf**2).cast("int").alias("parts"))
+    heads = heads.where("others > 0").select("path", "head", F.ceil(F.col("others") / (8 * join.leaf)).cast("int").alias("blocks"), F.ceil(F.col("n") / join.leaf**2).cast("int").alias("parts"))
     rows = nodes.join(heads, "path").withColumn("lead", F.col("component") != F.col("head"))
     of = lambda n: F.pmod(F.xxhash64("id", "path"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
