@@ -81,23 +81,43 @@ def dealt(rows: DataFrame, part: Column, plan: Plan) -> DataFrame:
     return rows.select(F.pmod(part, F.lit(plan.parts)).cast("int").alias("part"), *rows.columns).repartition(min(plan.parts, TASKS), "part")
 
 
-MARKS = "bucket int, part int, body binary"
+MARKS = "bucket int, body binary"
+#: Marks that a task gathers from its parts before it sends them: the more, the more of a bucket's stand in one message.
+GATHERED = 4_000_000
+
+
+def packed_marks(part: np.ndarray, mark: np.ndarray, flags: np.ndarray) -> bytes:
+    """Marks of several parts, ascending within each, with a flag of each mark."""
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return pack(planes(part[first], "<i4"), planes(np.diff(np.append(first, len(part))), "<u4"), planes(np.diff(mark, prepend=np.uint64(0)), "<u8"), np.packbits(flags))
+
+
+def unpacked_marks(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    part, many, steps, flags = unpack(raw, "u1", "u1", "u1", "u1")
+    mark = np.cumsum(items(steps, "<u8"), dtype=np.uint64)  # steps back to the next part's first mark wrap around
+    return np.repeat(items(part, "<i4"), items(many, "<u4")), mark, np.unpackbits(flags, count=len(mark)).astype(bool)
 
 
 def marker(find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], plan: Plan, block: int):
-    """mapInArrow function: from rows (part, ..., text) sorted by part, each part's packed marks by bucket. find: row and number of all that describes a block."""
+    """mapInArrow function: from rows (part, ..., text) sorted by part, packed marks by bucket. find: row and number of all that describes a block."""
 
-    def told(part: int, lows: list[np.ndarray]) -> pa.RecordBatch:
-        low, rows = np.unique(np.concatenate(lows), return_counts=True)
-        bucket = (low % np.uint64(plan.buckets)).astype(np.int64)
+    def sent(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        part = np.repeat([p for p, _, _ in held], [len(m) for _, m, _ in held])
+        mark, several = np.concatenate([m for _, m, _ in held]), np.concatenate([f for _, _, f in held])
+        bucket = (mark % np.uint64(plan.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        low, several, bucket = low[order], (rows > 1)[order], bucket[order]
-        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(low)]
-        bodies = [ascending(low[i:j], several[i:j]) for i, j in zip(edges, edges[1:])]
-        return pa.record_batch([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.full(len(bodies), part, np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "part", "body"])
+        part, mark, several, bucket = part[order], mark[order], several[order], bucket[order]
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(mark)]
+        bodies = [packed_marks(part[i:j], mark[i:j], several[i:j]) for i, j in zip(edges, edges[1:])]
+        return pa.record_batch([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
     def run(batches):
-        now, lows = None, []
+        now, lows, held = None, [], []
+
+        def close():
+            mark, rows = np.unique(np.concatenate(lows), return_counts=True)
+            held.append((now, mark, rows > 1))
+
         for rows in tb.blocks(batches, "text", block):
             part = rows.column(0).to_numpy()
             row, low = find(*tb.utf8(rows.column(rows.schema.get_field_index("text"))))
@@ -109,13 +129,18 @@ def marker(find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray
             for p in np.unique(part).tolist():
                 if p != now:
                     if lows:
-                        yield told(now, lows)
+                        close()
                     now, lows = p, []
                 own = low[slice(*np.searchsorted(owner, [p, p + 1]))]
                 if len(own):
                     lows.append(own)
+            if sum(len(m) for _, m, _ in held) > GATHERED:
+                yield sent(held)
+                held = []
         if lows:
-            yield told(now, lows)
+            close()
+        if held:
+            yield sent(held)
         tb.release()
 
     return run
@@ -124,30 +149,27 @@ def marker(find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray
 def matcher(hot: int):
     """mapInArrow function: from MARKS sorted by bucket, for each part the marks that two rows hold; flagged where `hot` parts do."""
 
-    def settle(held: list[tuple[int, bytes]]):
-        marks = [ascended(body) for _, body in held]
-        every, back, parts = np.unique(np.concatenate([m for m, _ in marks]), return_inverse=True, return_counts=True)
+    def settle(held: list[bytes]):
+        part, mark, several = (np.concatenate(x) for x in zip(*map(unpacked_marks, held)))
+        _, back, parts = np.unique(mark, return_inverse=True, return_counts=True)  # a part has a mark once
         shared = parts > 1
-        shared[back[np.concatenate([f for _, f in marks])]] = True
-        out, at = ([], []), 0
-        for (part, _), (mark, _) in zip(held, marks):
-            own = back[at : at + len(mark)]
-            at += len(mark)
-            keep = shared[own]
-            if keep.any():
-                out[0].append(part)
-                out[1].append(ascending(mark[keep], parts[own][keep] >= hot))
-        yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["part", "body"])
+        shared[back[several]] = True
+        keep = np.flatnonzero(shared[back])
+        keep = keep[np.lexsort((mark[keep], part[keep]))]
+        part, mark, often = part[keep], mark[keep], parts[back[keep]] >= hot
+        edges = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist(), len(part)]
+        bodies = [ascending(mark[i:j], often[i:j]) for i, j in zip(edges, edges[1:])]
+        yield pa.record_batch([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for b, part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for b, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if b != now:
                     if held:
                         yield from settle(held)
                     now, held = b, []
-                held.append((part, body.as_py()))
+                held.append(body.as_py())
         if held:
             yield from settle(held)
         tb.release()
