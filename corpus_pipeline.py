@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import chosenpath, fertility, mixing, pieces, secrets
-from loomset.llm.cluster import shared
+from loomset.llm.cluster import cut, shared
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    kept = chosenpath.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("__loom_gone"), "left_anti").select(docs.columns)
+    """Keeps one document of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Rows of one id are one group; rows of null ids stay.
+    """
+    gone = chosenpath.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
+    left = docs.join(gone, docs.doc_id == F.col("__loom_gone"), "left_anti").select(docs.columns)
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__loom_n")).where("__loom_n > 1").select(F.col("doc_id").alias("__loom_twice")))
+    if twice.isEmpty():
+        return left
+    is_twice = left.doc_id == F.col("__loom_twice")
+    return left.join(twice, is_twice, "left_anti").unionByName(left.join(twice, is_twice, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
