@@ -106,6 +106,14 @@ def test_each_stage_and_run_against_plain_python(spark, sf, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, encoded.collect()))
 
 
+def test_one_row_of_an_id_stays(spark, sf):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [row(7, text), row(7, text), row(7, text), row(8, text), row(9, "other " + " ".join(f"w{i}" for i in range(50))), row(None, text), row(None, text)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(2), "")
+    assert got.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [7, 9, None, None]
+
+
 @pytest.mark.parametrize("rows", [[], [row(None, None, None, None)], [row(1, None), row(1, ""), row(2, " ")]])
 def test_tables_of_which_nothing_is_left(spark, tmp_path, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
