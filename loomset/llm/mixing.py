@@ -91,7 +91,7 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
 
 def plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     """One row for each source, and whether they are few: of (the source), source_size, target, epochs, and the edge of what is
-    taken once more: documents of smaller (edge, edge_size), and `copies` of those of just that key and size. rows: source, size, key."""
+    taken once more: documents of smaller (edge, edge_size), and `copies` of the edge_n of just that key and size. rows: source, size, key."""
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), mix))
     few = sources.count() <= BROADCAST
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -106,9 +106,9 @@ def plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     inside = of_sources(dealt, edge, "source", few).where("bucket = at").groupBy("source", "rest", "before", "key", "size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("ahead", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(w), F.lit(0)))
-    edges = inside.where("ahead <= rest and rest < ahead + size * n").select(F.col("source").alias("edge_of"), F.col("key").alias("edge"), F.col("size").alias("edge_size"), F.floor((F.col("rest") - F.col("ahead")) / F.col("size") + 0.5).alias("copies"))
+    edges = inside.where("ahead <= rest and rest < ahead + size * n").select(F.col("source").alias("edge_of"), F.col("key").alias("edge"), F.col("size").alias("edge_size"), "n", F.floor((F.col("rest") - F.col("ahead")) / F.col("size") + 0.5).alias("copies")).withColumnRenamed("n", "edge_n")
     out = sources.join(edges, F.col("source").eqNullSafe(F.col("edge_of")), "left")
-    return cut(out.select(F.col("source").alias("of"), "source_size", "target", "epochs", F.coalesce("edge", F.lit(-1.0)).alias("edge"), F.coalesce("edge_size", F.lit(0)).alias("edge_size"), F.coalesce("copies", F.lit(0)).alias("copies"))), few
+    return cut(out.select(F.col("source").alias("of"), "source_size", "target", "epochs", F.coalesce("edge", F.lit(-1.0)).alias("edge"), F.coalesce("edge_size", F.lit(0)).alias("edge_size"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("edge_n", F.lit(0)).alias("edge_n"))), few
 
 
 def timed(rows: DataFrame, of: DataFrame, few: bool, source: str, size: str, key: str) -> DataFrame:
@@ -116,6 +116,8 @@ def timed(rows: DataFrame, of: DataFrame, few: bool, source: str, size: str, key
     rows = of_sources(rows, of, source, few)
     tie = (F.col(key) == F.col("edge")) & (F.col(size) == F.col("edge_size"))
     less = (F.col(key) < F.col("edge")) | (F.col(key) == F.col("edge")) & (F.col(size) < F.col("edge_size"))
+    if of.where("copies > 0 and copies < edge_n").isEmpty():  # of the rows at an edge, all or none are taken
+        return rows.withColumn("__loom_times", F.col("epochs") + (less | tie & (F.col("copies") > 0)).cast("int"))
     out = rows.where(~tie).withColumn("__loom_times", F.col("epochs") + less.cast("int"))
     # rows at the edge are equal but for what is not mixed by: they are numbered within partitions, and partitions by their counts
     tied = cut(rows.where(tie)).withColumn("__loom_at", F.spark_partition_id())
