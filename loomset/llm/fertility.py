@@ -80,7 +80,7 @@ class Rules:
 class Encoder:
     """Tokens of distinct words, kept between blocks up to a fixed number of words."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, path: str):
         if path.endswith(".tiktoken"):
@@ -228,6 +228,13 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops the words that encoders keep: a Python worker outlives its task, and serves other stages beside it."""
+    for encoder in _encoders.values():
+        encoder.clear()
+    tb.release()
+
+
 def fertility(documents: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: its key, the figures of `measure` and the verdict.
 
@@ -262,6 +269,7 @@ def filter_documents(documents: DataFrame, rules: Rules = Rules(), text: str = "
     def over(batches):
         for block in tb.blocks(batches, names[at_text]):
             yield from run(block)
-        tb.release()
+            tb.release()
+        forget()
 
     return documents.mapInArrow(over, schema)

@@ -131,7 +131,8 @@ def map_blocks(df, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], sch
     def run(batches):
         for block in blocks(batches, column, most):
             yield from fn(block)
-        release()
+            del block
+            release()
 
     return df.mapInArrow(run, schema)
 
