@@ -42,8 +42,8 @@ class Sampling:
     k: int = 2
     theta: float = 1.0  # inverse temperature of the scores
     seed: int = 7
-    block: int = 6 << 20  # bytes of text whose distinct units share lattices
-    part: int = 1 << 20  # bytes of text that are walked at once
+    block: int = 3 << 19  # bytes of text whose distinct units share lattices
+    part: int = 1 << 19  # bytes of text that are walked at once
 
 
 class Vocabulary:
