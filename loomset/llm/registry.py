@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chaining, chosenpath, fertility, mixing, pieces, pii, secrets, suffixes, transport, warc
+from loomset.llm import chaining, chosenpath, fertility, mixing, oracles, pieces, pii, secrets, suffixes, transport, turns, warc
 from loomset.llm.cluster import shared
 
 
@@ -55,9 +55,14 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles, op12_conversation_repair)}
 
 ORACLES = {
+    "op12_conversation_repair": oracles.turns(),
     "op4_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 n AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100),
