@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chaining, chosenpath, fertility, mixing, oracles, pieces, pii, secrets, suffixes, transport, turns, warc
+from loomset.llm import chaining, chosenpath, fertility, mixing, oracles, pieces, pii, secrets, simhash, suffixes, transport, turns, warc
 from loomset.llm.cluster import shared
 
 
@@ -59,7 +59,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles, op12_conversation_repair)}
+def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles, op12_conversation_repair, op13_simhash_trie)}
 
 ORACLES = {
     "op12_conversation_repair": oracles.turns(),
