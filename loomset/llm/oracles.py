@@ -51,3 +51,27 @@ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn),
 SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
 FROM a LEFT JOIN m ON a.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+def importance() -> str:
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH {CRC_TABLE},
+w AS (SELECT 0 AS c, doc_id AS id, {words} AS w FROM documents UNION ALL SELECT 1, item_id, {words} FROM benchmark),
+y AS (SELECT x, list_transform(range(0, len(h) // 2), lambda i: CAST(strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 17 AS BIGINT)) AS y
+  FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT unnest(w) AS x FROM w))),
+n AS (SELECT c, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+p AS (SELECT c, id, x, lead(x) OVER v AS x2, lead(x, 2) OVER v AS x3 FROM n WINDOW v AS (PARTITION BY c, id ORDER BY i)),
+f AS (SELECT c, id, x, NULL AS x2, NULL AS x3 FROM p UNION ALL SELECT c, id, x, x2, NULL FROM p WHERE x2 IS NOT NULL UNION ALL SELECT c, id, x, x2, x3 FROM p WHERE x3 IS NOT NULL),
+m AS (SELECT x, coalesce(x2, '') AS x2, coalesce(x3, '') AS x3, count(*) FILTER (c = 0) AS s, count(*) FILTER (c = 1) AS t FROM f GROUP BY ALL),
+k AS (SELECT m.*, y1.y || CASE WHEN x2 = '' THEN [] ELSE [CAST(32 AS BIGINT)] || y2.y END || CASE WHEN x3 = '' THEN [] ELSE [CAST(32 AS BIGINT)] || y3.y END AS bytes FROM m JOIN y y1 ON y1.x = m.x LEFT JOIN y y2 ON y2.x = m.x2 LEFT JOIN y y3 ON y3.x = m.x3),
+b AS (SELECT x, x2, x3, s, t, {crc("bytes")} % 10000 AS b FROM k, tab),
+q AS (SELECT b, sum(s) AS s, sum(t) AS t FROM b GROUP BY b),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM q),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST((q.t + 1) * (z.s + 10000) AS DOUBLE) / CAST((q.s + 1) * (z.t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM q, z),
+e AS (SELECT id, count(*) AS n, sum(gain) AS weight FROM f JOIN b ON f.x = b.x AND coalesce(f.x2, '') = b.x2 AND coalesce(f.x3, '') = b.x3 JOIN g USING (b) WHERE c = 0 GROUP BY id),
+d AS (SELECT doc_id, len(w.w) AS words, coalesce(e.n, 0) AS n_features, CAST(coalesce(e.weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents JOIN w ON w.c = 0 AND w.id = doc_id LEFT JOIN e ON e.id = doc_id),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS drawn FROM r WHERE words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN o.place <= o.drawn THEN o.place END AS rank FROM r LEFT JOIN o USING (doc_id)
+"""

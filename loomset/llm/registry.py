@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import chaining, chosenpath, fertility, mixing, oracles, pieces, pii, secrets, simhash, suffixes, transport, turns, warc
+from loomset.llm import chaining, chosenpath, fertility, importance, mixing, oracles, pieces, pii, secrets, simhash, suffixes, transport, turns, warc
 from loomset.llm.cluster import shared
 
 
@@ -55,6 +55,10 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(pages, f"{shared(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -63,9 +67,10 @@ def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles, op12_conversation_repair, op13_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_chained_passages, op3_secret_scan, op4_suffix_dedup, op5_bootstrap_pii, op6_tokeniser_fertility, op7_gumbel_pieces, op8_mix_sources, op9_chosen_path, op10_warc_bundles, op11_importance_resampling, op12_conversation_repair, op13_simhash_trie)}
 
 ORACLES = {
+    "op11_importance_resampling": oracles.importance(),
     "op12_conversation_repair": oracles.turns(),
     "op4_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
