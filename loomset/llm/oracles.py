@@ -63,10 +63,10 @@ y AS (SELECT x, list_transform(range(0, len(h) // 2), lambda i: CAST(strpos('012
 n AS (SELECT c, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
 p AS (SELECT c, id, x, lead(x) OVER v AS x2, lead(x, 2) OVER v AS x3 FROM n WINDOW v AS (PARTITION BY c, id ORDER BY i)),
 f AS (SELECT c, id, x, NULL AS x2, NULL AS x3 FROM p UNION ALL SELECT c, id, x, x2, NULL FROM p WHERE x2 IS NOT NULL UNION ALL SELECT c, id, x, x2, x3 FROM p WHERE x3 IS NOT NULL),
-m AS (SELECT x, coalesce(x2, '') AS x2, coalesce(x3, '') AS x3, count(*) FILTER (c = 0) AS s, count(*) FILTER (c = 1) AS t FROM f GROUP BY ALL),
+m AS (SELECT x, coalesce(x2, '') AS x2, coalesce(x3, '') AS x3, count(*) FILTER (c = 0) AS ns, count(*) FILTER (c = 1) AS nt FROM f GROUP BY ALL),
 k AS (SELECT m.*, y1.y || CASE WHEN x2 = '' THEN [] ELSE [CAST(32 AS BIGINT)] || y2.y END || CASE WHEN x3 = '' THEN [] ELSE [CAST(32 AS BIGINT)] || y3.y END AS bytes FROM m JOIN y y1 ON y1.x = m.x LEFT JOIN y y2 ON y2.x = m.x2 LEFT JOIN y y3 ON y3.x = m.x3),
-b AS (SELECT x, x2, x3, s, t, {crc("bytes")} % 10000 AS b FROM k, tab),
-q AS (SELECT b, sum(s) AS s, sum(t) AS t FROM b GROUP BY b),
+b AS (SELECT x, x2, x3, ns, nt, {crc("bytes")} % 10000 AS b FROM k, tab),
+q AS (SELECT b, sum(ns) AS s, sum(nt) AS t FROM b GROUP BY b),
 z AS (SELECT sum(s) AS s, sum(t) AS t FROM q),
 g AS (SELECT b, CAST(floor(1000 * ln(CAST((q.t + 1) * (z.s + 10000) AS DOUBLE) / CAST((q.s + 1) * (z.t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM q, z),
 e AS (SELECT id, count(*) AS n, sum(gain) AS weight FROM f JOIN b ON f.x = b.x AND coalesce(f.x2, '') = b.x2 AND coalesce(f.x3, '') = b.x3 JOIN g USING (b) WHERE c = 0 GROUP BY id),
