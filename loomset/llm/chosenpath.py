@@ -129,7 +129,8 @@ def sketches(documents: DataFrame, join: Join) -> DataFrame:
 
 
 def matrix(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), len(values[0]) // np.dtype(kind).itemsize if values else 0)
 
 
 LOW_BITS = np.uint64(0x5555555555555555)
@@ -308,7 +309,8 @@ def leaves(join: Join, find, names: list[str]):
             paths = table["path"].to_numpy()
             before = np.flatnonzero(paths != paths[-1])
             at = int(before[-1]) + 1 if len(before) else 0
-            yield from found(table.slice(0, at))
+            if at:
+                yield from found(table.slice(0, at))
             rest = table.slice(at).combine_chunks().to_batches()
         if rest:
             yield from found(pa.Table.from_batches(rest))

@@ -3,6 +3,9 @@
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from loomset.llm import chosenpath
 
 
@@ -68,3 +71,29 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     got = {r.id: r.component for r in chosenpath.components(links).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_one_leaf_in_a_task(spark, adaptive):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64" if adaptive == "false" else "4")
+    try:
+        words = " ".join(f"w{i}" for i in range(60))
+        rows = [(1, words), (2, words + " more"), (3, "less " + words)]
+        got = sorted(tuple(r) for r in chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == brute(rows, 5, 80)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_a_leaf_across_batches():
+    ids = list(range(40))
+    rows = pa.record_batch([pa.array(ids), pa.array([7] * 25 + [8] * 15), pa.array([True] * 40), pa.array([bytes(128)] * 40, pa.binary()), pa.array([0] * 40)], names=["id", "path", "lead", "what", "component"])
+    run = chosenpath.leaves(chosenpath.Join(), chosenpath.partners, ["a", "b", "late"])
+    whole = pa.Table.from_batches(list(run([rows]))).sort_by("a").to_pydict()
+    for size in (1, 7, 24, 25, 26):
+        parts = [rows.slice(i, size) for i in range(0, 40, size)]
+        assert pa.Table.from_batches(list(run([parts[0].slice(0, 0), *parts]))).sort_by("a").to_pydict() == whole
+    assert list(run([rows.slice(0, 0)])) == []
