@@ -10,10 +10,12 @@ a 128-bit digest of the sorted set), so a group of exact copies costs one row. B
    drawn coordinate.
 2. A child of one class ends there. A child of at most `leaf` classes is compared. A larger one is
    branched again, on coordinates drawn for that child, down to `depth`. Classes that agree all the
-   way down are mostly near copies of each other: they are dealt into blocks, each with the same few
-   pivots of their node. Once the links found so far have been drawn together, what is outside such a
-   node's largest component is compared with all of the node, in tasks of bounded size: so no pair of
-   a node goes uncompared, whatever its size.
+   way down are near copies of each other, or pages of one template: they are dealt into blocks, each with
+   the same few pivots of their node. Once the links found so far have been drawn together, classes that
+   have too few shingles in common with other components are left out (`sieve`): they have no link left to
+   find. Of the others, those outside a node's largest component are compared with all of the node where
+   they are few; where they are many, with those that share one of their rarest shingles. So no pair of a
+   node that may be a link goes uncompared, whatever its size.
 3. A leaf is compared exhaustively by marks. At first each class names one partner: among those that
    are like it beyond doubt the one of smallest hash, so that a group of near copies draws together
    around a few of them; else the likeliest of a spanning forest. That is at most one pair a class.
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 
 from loomset.llm import textbatch as tb
 from loomset.llm.cluster import cut, narrow
+from loomset.llm.sieve import sieved
+from loomset.operators.ranking import positioned
 
 
 @dataclass(frozen=True)
@@ -349,21 +353,46 @@ def compared(rows: DataFrame, what: DataFrame, join: Join, find, schema: str) ->
     return rows.mapInArrow(leaves(join, find, [f.split()[0] for f in schema.split(", ")]), schema)
 
 
+def labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def sifted(large: DataFrame, groups: DataFrame, documents: DataFrame, join: Join) -> tuple[DataFrame, DataFrame] | None:
+    """What is left to compare in large nodes (id, path), as leaves and as large nodes of few leads: (id, path) each; None: nothing.
+
+    Pairs of nodes with many classes outside their largest component are taken to leaves by their rarest common shingles instead."""
+    nodes = cut(labelled(large.select("id", "path"), groups))
+    several = nodes.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("path")
+    asked = cut(nodes.join(several, "path", "left_semi").select("id", "component").distinct())
+    if asked.isEmpty():
+        return None
+    sets = sets_of(asked.select(F.col("id").alias("doc_id")), documents, join, "<u4")
+    need = F.ceil(F.octet_length("members") / 4 * join.percent / 100).cast("int")
+    kept = sieved(sets.withColumnRenamed("doc_id", "id").join(asked, "id").select("id", "component", need.alias("need"), "members"))
+    nodes = cut(nodes.join(kept.select("id"), "id", "left_semi"))
+    counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
+    few = 8 * join.leaf
+    heads = cut(counts.groupBy("path").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0"))
+    by_head = nodes.join(heads.where(F.col("others") <= few), "path", "left_semi").select("id", "path")
+    spread = nodes.join(heads.where(F.col("others") > few), "path", "left_semi").select("id").distinct()
+    shared = kept.join(spread, "id", "left_semi").select("id", "component", F.explode("first").alias("first")).select("id", "component", F.xxhash64("first", F.lit(2)).alias("path"))
+    sizes = shared.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    shared = cut(shared.join(sizes.select("path", "n"), "path"))
+    return shared.where(F.col("n") <= few).select("id", "path"), by_head.unionByName(shared.where(F.col("n") > few).select("id", "path"))
+
+
 def mixed(rows: DataFrame, large: DataFrame | None, groups: DataFrame, join: Join) -> DataFrame:
     """(id, path, lead, component) of the leaves that hold several components, and of large nodes in parts.
 
     In a large node the classes outside its largest component are leads: blocks of 8 * leaf of them meet parts of
     about leaf * leaf of the node's other classes."""
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    rows = labelled(rows)
+    rows = labelled(rows, groups)
     several = rows.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     out = rows.join(several.select("path"), "path", "left_semi").select("id", "path", F.lit(True).alias("lead"), "component")
     if large is None:
         return out
-    nodes = cut(labelled(large).select("id", "path", "component"))
+    nodes = cut(labelled(large, groups).select("id", "path", "component"))
     counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
     heads = counts.groupBy("path").agg(F.max_by("component", "n").alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
     heads = heads.where("others > 0").select("path", "head", F.ceil(F.col("others") / (8 * join.leaf)).cast("int").alias("blocks"), F.ceil(F.col("n") / join.leaf**2).cast("int").alias("parts"))
@@ -440,6 +469,10 @@ def linked(classes: DataFrame, documents: DataFrame, join: Join) -> DataFrame:
     named = compared(first, marks, join, partners, PARTNER).groupBy("a").agg(F.min(F.struct("late", "b")).alias("top"))
     pairs = narrow(named.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct())
     groups = components(confirm(pairs, documents, join))
+    if large is not None:
+        more = sifted(large, groups, documents, join)
+        large = None if more is None else more[1]
+        rows = rows if more is None else rows.unionByName(more[0])
 
     def joined(crossing: DataFrame) -> DataFrame:
         best = crossing.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("top"))
@@ -482,21 +515,51 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def told_apart(rows: DataFrame, source: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """For ids of several texts an id for each text, above all others: rows and source so, and (doc_id, own) of the new ids; None: there are none.
+
+    rows: of `sketches`. source: doc_id, text."""
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("set_key", F.lit(b""))).alias("lo"), F.max(F.coalesce("set_key", F.lit(b""))).alias("hi"))
+    several = cut(several.where("lo < hi").select("doc_id"))
+    if several.isEmpty():
+        return None
+    above = rows.agg(F.max("doc_id")).first()[0] + 1
+    texts = source.join(several, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "own")
+    texts = cut(positioned(texts, ["own", "text"], "at").select("own", (F.col("at") + above).alias("doc_id"), "text"))
+    new = texts.select("doc_id", "text")
+    rows = cut(rows.join(several, "doc_id", "left_anti").select(rows.columns).unionByName(sketches(new, join)))
+    return rows, source.join(several, "doc_id", "left_anti").unionByName(new), texts
+
+
 def near_duplicates(documents: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document.
 
     Null or empty text: an empty set, linked with nothing, its own component, kept. A repeated row has
     its copies' component; a document is kept if its id is the component's smallest, so rows that repeat
-    that id are all kept here; texts that share an id count as linked. Rows with a null key have a null
-    component and are kept. Other columns are not read.
+    that id are all kept here. Texts that share an id count as linked, each with its own set. Rows with a
+    null key have a null component and are kept. Other columns are not read.
     """
     source = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = cut(sketches(source, join))
+    every = cut(sketches(source, join))
+    apart = told_apart(every, source, join)
+    rows, source, texts = apart or (every, source, None)
     full = rows.where("set_key is not null and doc_id is not null")
     keys = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
     classes = cut(rows.select(F.col("doc_id").alias("id"), "set_key", "vals", "marks").join(keys, ["id", "set_key"], "left_semi").dropDuplicates(["id"]).drop("set_key"))
     found = linked(classes, source, join)
     of_class = keys.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = rows.drop("vals", "marks").join(of_class, "set_key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    out = rows.drop("vals", "marks").join(of_class, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    if texts is not None:  # the components of an id's texts are one, whose smallest id is that or a smaller one
+        out = cut(out)
+        ties = out.join(texts.select("doc_id", "own"), "doc_id").select(F.col("component_id").alias("a"), F.col("own").alias("b"))
+        drawn = components(ties).withColumnRenamed("id", "component_id")
+        out = out.join(drawn, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+        own = out.join(texts, "doc_id").select("own", "text", "n_shingles", "component_id")
+        again = source_rows(documents, key, text).join(own, F.col("doc_id").eqNullSafe(F.col("own")) & F.col("__text").eqNullSafe(F.col("text")))
+        out = out.join(texts.select("doc_id"), "doc_id", "left_anti").unionByName(again.select("doc_id", "n_shingles", "component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
+
+
+def source_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))

@@ -97,3 +97,70 @@ def test_a_leaf_across_batches():
         parts = [rows.slice(i, size) for i in range(0, 40, size)]
         assert pa.Table.from_batches(list(run([parts[0].slice(0, 0), *parts]))).sort_by("a").to_pydict() == whole
     assert list(run([rows.slice(0, 0)])) == []
+
+
+def templated(n, planted, seed=4):
+    """Pages of one template, pairwise unlike, and `planted` pairs of near copies among them."""
+    rnd = random.Random(seed)
+    frame = [f"t{i}" for i in range(90)]
+    word = lambda: f"u{rnd.randrange(10**9)}"
+    rows = []
+    for i in range(n):
+        rows.append((i, frame[:60] + [word() for _ in range(40)] + frame[60:]))
+    for k in range(planted):
+        of = rows[k * (n // planted)][1]
+        rows.append((n + k, [w if i != 70 else word() for i, w in enumerate(of)]))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_templated_pages(spark, monkeypatch):
+    made = []
+    real = chosenpath.mixed
+
+    def counted(*args):
+        out = chosenpath.cut(real(*args))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "mixed", counted)
+    sizes = []
+    for n in (500, 1000):
+        rows = templated(n, 25)
+        made.clear()
+        got = {r.doc_id: r.component_id for r in chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i for i in range(n)} | {n + k: k * (n // 25) for k in range(25)}
+        sizes.append(max(made))
+    assert sizes[1] < 2.5 * sizes[0] + 100, sizes
+
+
+def test_sieve_keeps_links(spark):
+    from loomset.llm import sieve
+
+    rnd = random.Random(6)
+    sets = []
+    for i in range(120):
+        base = set(rnd.sample(range(400 if i % 2 else 10**6), 30))
+        sets += [(base, i), (set(list(base)[:28]) | {rnd.randrange(10**6)}, i if i % 3 == 0 else 1000 + i)]
+    rows = [(i, g, -(-len(x) * 80 // 100), b"".join(v.to_bytes(4, "little") for v in sorted(x))) for i, (x, g) in enumerate(sets)]
+    got = {r.id: list(r.first) for r in sieve.sieved(spark.createDataFrame(rows, sieve.SETS).repartition(3)).collect()}
+    linked = 0
+    for a, (x, g) in enumerate(sets):
+        for b, (y, h) in enumerate(sets[:a]):
+            if g != h and 100 * len(x & y) >= 80 * len(x | y):
+                linked += 1
+                assert set(got[a]) & set(got[b])
+    assert linked >= 30 and len(got) < len(sets)
+
+
+def test_ids_with_several_texts(spark):
+    rnd = random.Random(8)
+    words = lambda: [f"v{rnd.randrange(10**6)}" for _ in range(60)]
+    a, b, c = words(), words(), words()
+    near = lambda w: " ".join(w[:30] + ["other"] + w[30:])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, None), (9, near(b)), (11, near(a)), (3, near(c)), (4, " ".join(c)), (4, "short text")]
+    want = [(3, 3), (4, 3), (4, 3), (5, 5), (5, 5), (5, 5), (9, 5), (11, 5)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = chosenpath.near_duplicates(df).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == want
+        assert sorted(r.n_shingles for r in got) == [0, 1, 56, 56, 56, 57, 57, 57]
