@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
-    Rows of one id are one group; rows of null ids stay.
+    Rows of one id are one group, of which the smallest row by its columns stays; rows of null ids stay.
     """
     gone = chosenpath.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
     left = docs.join(gone, docs.doc_id == F.col("__loom_gone"), "left_anti").select(docs.columns)
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if twice.isEmpty():
         return left
     is_twice = left.doc_id == F.col("__loom_twice")
-    return left.join(twice, is_twice, "left_anti").unionByName(left.join(twice, is_twice, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(twice, is_twice, "left_anti").unionByName(left.join(twice, is_twice, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*left.columns)).alias("__loom_row")).select("__loom_row.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
