@@ -361,23 +361,23 @@ def sifted(large: DataFrame, groups: DataFrame, documents: DataFrame, join: Join
     """What is left to compare in large nodes (id, path), as leaves and as large nodes of few leads: (id, path) each; None: nothing.
 
     Pairs of nodes with many classes outside their largest component are taken to leaves by their rarest common shingles instead."""
-    nodes = cut(labelled(large.select("id", "path"), groups))
+    nodes = narrow(labelled(large.select("id", "path"), groups))
     several = nodes.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("path")
-    asked = cut(nodes.join(several, "path", "left_semi").select("id", "component").distinct())
+    asked = narrow(nodes.join(several, "path", "left_semi").select("id", "component").distinct())
     if asked.isEmpty():
         return None
     sets = sets_of(asked.select(F.col("id").alias("doc_id")), documents, join, "<u4")
     need = F.ceil(F.octet_length("members") / 4 * join.percent / 100).cast("int")
     kept = sieved(sets.withColumnRenamed("doc_id", "id").join(asked, "id").select("id", "component", need.alias("need"), "members"))
-    nodes = cut(nodes.join(kept.select("id"), "id", "left_semi"))
+    nodes = narrow(nodes.join(kept.select("id"), "id", "left_semi"))
     counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
     few = 8 * join.leaf
-    heads = cut(counts.groupBy("path").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0"))
+    heads = narrow(counts.groupBy("path").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0"))
     by_head = nodes.join(heads.where(F.col("others") <= few), "path", "left_semi").select("id", "path")
     spread = nodes.join(heads.where(F.col("others") > few), "path", "left_semi").select("id").distinct()
     shared = kept.join(spread, "id", "left_semi").select("id", "component", F.explode("first").alias("first")).select("id", "component", F.xxhash64("first", F.lit(2)).alias("path"))
     sizes = shared.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    shared = cut(shared.join(sizes.select("path", "n"), "path"))
+    shared = narrow(shared.join(sizes.select("path", "n"), "path"))
     return shared.where(F.col("n") <= few).select("id", "path"), by_head.unionByName(shared.where(F.col("n") > few).select("id", "path"))
 
 
@@ -392,7 +392,7 @@ def mixed(rows: DataFrame, large: DataFrame | None, groups: DataFrame, join: Joi
     out = rows.join(several.select("path"), "path", "left_semi").select("id", "path", F.lit(True).alias("lead"), "component")
     if large is None:
         return out
-    nodes = cut(labelled(large, groups).select("id", "path", "component"))
+    nodes = narrow(labelled(large, groups).select("id", "path", "component"))
     counts = nodes.groupBy("path", "component").agg(F.count("*").alias("n"))
     heads = counts.groupBy("path").agg(F.max_by("component", "n").alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
     heads = heads.where("others > 0").select("path", "head", F.ceil(F.col("others") / (8 * join.leaf)).cast("int").alias("blocks"), F.ceil(F.col("n") / join.leaf**2).cast("int").alias("parts"))
@@ -520,9 +520,10 @@ def told_apart(rows: DataFrame, source: DataFrame, join: Join) -> tuple[DataFram
 
     rows: of `sketches`. source: doc_id, text."""
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("set_key", F.lit(b""))).alias("lo"), F.max(F.coalesce("set_key", F.lit(b""))).alias("hi"))
-    several = cut(several.where("lo < hi").select("doc_id"))
+    several = several.where("lo < hi").select("doc_id")
     if several.isEmpty():
         return None
+    several = cut(several)
     above = rows.agg(F.max("doc_id")).first()[0] + 1
     texts = source.join(several, "doc_id", "left_semi").distinct().withColumnRenamed("doc_id", "own")
     texts = cut(positioned(texts, ["own", "text"], "at").select("own", (F.col("at") + above).alias("doc_id"), "text"))

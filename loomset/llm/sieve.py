@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm import parts
 from loomset.llm import textbatch as tb
-from loomset.llm.cluster import cut
+from loomset.llm.cluster import narrow
 
 #: Bytes of members in a part and in a bucket at most, about; with fewer of them there are as many as tasks, if not too small.
 PART, BUCKET, SMALL = 8 << 20, 4 << 20, 64 << 10
@@ -154,7 +154,7 @@ def sieved(sets: DataFrame, rounds: int = 2) -> DataFrame:
     """
     usual = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt_by = lambda df, key, n: df.repartitionById(min(n, parts.TASKS), F.col(key) % min(n, parts.TASKS))
-    rows = cut(sets.select("id", "component", "need", "members"))
+    rows = narrow(sets.select("id", "component", "need", "members"))
     for _ in range(rounds):
         total = rows.agg(F.sum(F.octet_length("members"))).first()[0] or 0
         tasks, buckets = (max(1, -(-total // x), min(usual, total // SMALL)) for x in (PART, BUCKET))
@@ -166,5 +166,5 @@ def sieved(sets: DataFrame, rounds: int = 2) -> DataFrame:
         told = told.select("part", F.lit(0).alias("kind"), "body", none("long", "id"), none("long", "component"), none("int", "need"), none("binary", "members"))
         both = told.unionByName(dealt.select("part", F.lit(1).alias("kind"), none("binary", "body"), "id", "component", "need", "members"))
         both = dealt_by(both, "part", tasks).sortWithinPartitions("part", "kind")
-        rows = cut(both.mapInArrow(keeper(), KEPT))
+        rows = narrow(both.mapInArrow(keeper(), KEPT))
     return rows
