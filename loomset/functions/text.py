@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ from pyspark.sql.types import StringType
 NOT_ALNUM = "[^a-zA-Z0-9 ]+"
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), where value is worked out once, however often fn's lambdas use it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without leading and trailing Unicode white space (SQL trim strips spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -81,18 +86,49 @@ def replacement(groups: str, sign: str) -> str:
     return "".join(f"{sign}{g}" if g.isdigit() else CUT if g == "|" else "" for g in groups)
 
 
+#: What stands for the text after a piece of it, so that no pattern takes the piece's end for the text's.
+MORE = "\ue002"
+#: Pieces that are one token as they are: letters and digits alone, but for words that hide two; and such ones with one mark.
+PLAIN = r"^(?!(?i:cannot|gimme|lemme|gonna|wanna|gotta)\b)[\p{L}\p{N}]+"
+ALONE, MARKED = PLAIN + r"\s*$", PLAIN + f"([,;:!?]|[.!?]{END})\\s*$"
+WHITE = " \t\n\x0b\x0c\r"
+
+
 def treebank_cut(c: Column) -> Column:
-    out = F.regexp_replace(c, SENTENCE, f"$1{END}$2")
+    """c with CUT around its tokens. c: text with END after its sentences, or a piece of such a text."""
     for pattern, groups in TREEBANK:
-        out = F.regexp_replace(out, pattern, replacement(groups, "$"))
-    return out
+        c = F.regexp_replace(c, pattern, replacement(groups, "$"))
+    return c
+
+
+def treebank_tokens(marked: Column) -> Column:
+    """array<struct<word, conn>> of a text with END after its sentences, each token with the white space after it.
+
+    Tokens part at white space and by patterns that look no further than the white space after a piece, so each piece is
+    cut on its own, and only if it holds more than letters and digits. White space before the first token is lost."""
+    token = lambda word, conn: F.struct(word.alias("word"), conn.alias("conn"))
+    white = lambda x: F.substring(x, F.length(F.rtrim(x, F.lit(WHITE))) + 1, F.length(x))
+
+    def tokens(piece: Column, last: Column) -> Column:
+        cut = treebank_cut(F.when(last, piece).otherwise(F.concat(piece, F.lit(MORE))))
+        found = F.regexp_extract_all(F.replace(cut, F.lit(MORE), F.lit("")), F.lit(TOKEN), F.lit(0))
+        return F.transform(found, lambda x: token(F.regexp_extract(x, TOKEN, 1), F.regexp_extract(x, TOKEN, 2)))
+
+    def of_piece(piece: Column, last: Column) -> Column:
+        word = F.rtrim(piece, F.lit(WHITE + END + ",;:!?."))
+        mark = F.substring(piece, F.length(word) + 1, F.lit(1))
+        out = F.when(piece.rlike(ALONE), F.array(token(F.rtrim(piece, F.lit(WHITE)), white(piece))))
+        return out.when(piece.rlike(MARKED), F.array(token(word, F.lit("")), token(mark, white(piece)))).otherwise(tokens(piece, last))
+
+    whole = F.regexp_extract_all(marked, F.lit(r"\S+\s*"), F.lit(0))
+    return F.flatten(bound(whole, lambda w: F.transform(w, lambda x, i: of_piece(x, i == F.size(w) - 1))))
 
 
 def treebank_words(c: Column) -> Column:
     """array<struct<word, conn>>: words, numbers, punctuation and clitics of each sentence, each with the white space after it.
 
-    Sentences end at closing punctuation before white space; no model is needed. White space before the first token is lost."""
-    return F.transform(F.regexp_extract_all(treebank_cut(c), F.lit(TOKEN), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, TOKEN, 1).alias("word"), F.regexp_extract(x, TOKEN, 2).alias("conn")))
+    Sentences end at closing punctuation before white space; see operators.sentences for those of a model."""
+    return treebank_tokens(F.regexp_replace(c, SENTENCE, f"$1{END}$2"))
 
 
 def sentences_and_connectors(c: Column) -> Column:

@@ -644,4 +644,4 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id").join(done, "page_id", "left_anti")
 
 
-from loomset.plans import endtoend  # noqa: E402, F401  adds its queries
+from loomset.plans import endtoend, sentences  # noqa: E402, F401  they add their queries
