@@ -1,4 +1,4 @@
-"""Ranks, top-k over logits, positions, retention, throttling and deterministic shuffles."""
+"""Ranks, top-k over logits, positions, retention and deterministic shuffles."""
 
 from __future__ import annotations
 
@@ -55,22 +55,6 @@ def retained(df: DataFrame, time: str, order: list[str], newest: int, seconds: f
     return rows.orderBy(F.col(time).desc(), *(F.col(c).desc() for c in order)).limit(newest)
 
 
-def throttled(df: DataFrame, key: str, time: str, order: str, seconds: int) -> DataFrame:
-    """key, runs: the times at which a task that may run at most every `seconds` does run, given its calls.
-
-    A greedy scan by key: the fold carries the last run. A call runs if there was no run less than
-    `seconds` before it.
-    """
-    at = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("runs"))
-
-    def step(acc, x):
-        run = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(run, x["t"]).otherwise(acc["last"]).alias("last"), F.when(run, F.concat(acc["runs"], F.array(x["o"].cast("bigint")))).otherwise(acc["runs"]).alias("runs"))
-
-    return df.groupBy(key).agg(at.alias("__at")).select(key, F.aggregate("__at", start, step, lambda acc: acc["runs"]).alias("runs"))
-
-
 def shuffle_key(key: str, seed: int = 0, epoch: int = 0):
     """A hash that orders rows at random: equal for equal seed and epoch, whatever the partitions are."""
     return F.xxhash64(F.col(key), F.lit(seed + epoch))
