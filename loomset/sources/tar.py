@@ -103,27 +103,42 @@ def stale(stored: DataFrame, stat: DataFrame) -> DataFrame:
     return stat.join(known, (stat.archive == known.archive) & stat["size"].eqNullSafe(known["size"]) & stat["mtime"].eqNullSafe(known["mtime"]), "left_anti")
 
 
-def read_members(index: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """index with `content`: each archive is opened once in a partition and read in order of offsets.
+#: Bytes of an archive that one task reads, and of contents in one batch, about.
+SPLIT, FLUSH = 256 << 20, 32 << 20
 
-    Filter the index first: only what is left is read. Archives are paths that workers can open.
+
+def read_members(index: DataFrame, split: int = SPLIT, flush: int = FLUSH) -> DataFrame:
+    """index with `content`, read in order of offsets, each stretch of `split` bytes of an archive by one task.
+
+    Filter the index first: only what is left is read. Archives are paths that workers can open. A task holds
+    `flush` bytes of contents at once, or one member.
     """
-    rows = index.repartition("archive").sortWithinPartitions("archive", "offset")
+    rows = index.withColumn("__part", F.floor(F.col("offset") / split)).repartition("archive", "__part").sortWithinPartitions("archive", "offset").select(index.columns)
 
     def run(batches):
         path, file = None, None
         try:
             for batch in batches:
                 names = batch.schema.names
-                out = []
-                for archive, offset, size in zip(*(batch.column(names.index(c)).to_pylist() for c in ("archive", "offset", "size"))):
+                out, at, held = [], 0, 0
+
+                def full(to: int):
+                    part = batch.slice(at, to - at)
+                    return pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*names, "content"])
+
+                for i, (archive, offset, size) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in ("archive", "offset", "size")))):
                     if archive != path:
                         if file:
                             file.close()
                         path, file = archive, open(archive, "rb")
                     file.seek(offset)
                     out.append(file.read(size))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "content"])
+                    held += size
+                    if held >= flush:
+                        yield full(i + 1)
+                        out, at, held = [], i + 1, 0
+                if at < batch.num_rows:
+                    yield full(batch.num_rows)
         finally:
             if file:
                 file.close()
