@@ -644,4 +644,4 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id").join(done, "page_id", "left_anti")
 
 
-from loomset.plans import endtoend, ordered, sentences, storage  # noqa: E402, F401  they add their queries
+from loomset.plans import endtoend, lookup, ordered, sentences, storage  # noqa: E402, F401  they add their queries
