@@ -5,7 +5,7 @@ base spans; they are always kept. They are also the seeds of a bootstrap: the on
 entity, and after it, are its lexical patterns. Patterns and instances (the seeds, and tokens with some
 digits, also in groups that single spaces part) form a bipartite graph. Each round scores a pattern by the
 confidence of its distinct instances, seeds counting 1, and an instance by its patterns: 1 - product of
-(1 - score). Instances that no form knows but that confident patterns lead to are the spans of kind `id`:
+(1 - score), until confidences settle. Instances that no form knows but that confident patterns lead to are the spans of kind `id`:
 what they look like beside their digits is left to the patterns.
 
 Counts are taken over distinct (pattern, value) pairs with partial sums before any shuffle, so a value or
@@ -42,7 +42,8 @@ BROADCAST = 500_000
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
+    settled: float = 1e-6  # rounds end when no confidence has grown by more
+    rounds: int = 100  # at most: confidences only grow, to 1 at most
     digits: int = 3  # that an instance has at least
     support: float = 5.0  # confident distinct values that a pattern needs
     accept: float = 0.8  # confidence of a pattern, and of an instance, from where they count
@@ -97,8 +98,11 @@ def worded(text: Column) -> Column:
 
 def contexts(text: Column, span: Column, size: int) -> Column:
     """The patterns of a span: one and two words before it, one and two after it, as far as there are some."""
-    left = worded(F.substr(text, F.greatest(span["start"] - size, F.lit(0)) + 1, F.least(span["start"], F.lit(size))))
-    right = worded(F.substr(text, span["end"] + 1, F.lit(size)))
+    # a word that the window cuts in two is no word of the context
+    before = F.substr(text, F.greatest(span["start"] - size - 1, F.lit(0)) + 1, F.least(span["start"], F.lit(size + 1)))
+    after = F.substr(text, span["end"] + 1, F.lit(size + 1))
+    left = worded(F.when(span["start"] > size, F.regexp_replace(before, r"^\S+", "")).otherwise(before))
+    right = worded(F.when(F.length(text) - span["end"] > size, F.regexp_replace(after, r"\S+$", "")).otherwise(after))
     side = lambda name, w, one, two: F.array(F.when(F.size(w) >= 1, F.concat(F.lit(f"{name}1 "), one(w))), F.when(F.size(w) >= 2, F.concat(F.lit(f"{name}2 "), two(w))))
     before = spans.let(left, lambda w: side("before", w, lambda w: F.element_at(w, -1), lambda w: F.concat_ws(" ", F.element_at(w, -2), F.element_at(w, -1))))
     after = spans.let(right, lambda w: side("after", w, lambda w: F.element_at(w, 1), lambda w: F.concat_ws(" ", F.element_at(w, 1), F.element_at(w, 2))))
@@ -114,13 +118,19 @@ def confidences(edges: DataFrame, options: Bootstrap) -> DataFrame:
     """value, confidence of the values beside the seeds that confident patterns lead to. edges: pattern, value, seed boolean; any repeats."""
     edges = cut(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
-    values = known.where("seed > 0").select("value", F.col("seed").alias("confidence"))
+    values = known.where("seed > 0").select("value", "seed", F.col("seed").alias("confidence"))
     for _ in range(options.rounds):
         total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         sure = edges.join(values, "value").groupBy("pattern").agg(F.sum("confidence").alias("sure")).where(F.col("sure") >= options.support)
         scored = cut(sure.join(total, "pattern").select("pattern", (F.col("sure") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= options.accept))
+        if scored.isEmpty():
+            break
         led = edges.join(few(scored), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("led"))
+        old = values
         values = cut(known.join(led, "value", "left").select("value", "seed", F.greatest("seed", F.coalesce("led", F.lit(0.0))).alias("confidence")).where("confidence > 0"))
+        grown = values.join(old.select("value", F.col("confidence").alias("old")), "value", "left").where(F.col("confidence") - F.coalesce("old", F.lit(0.0)) > options.settled)
+        if grown.isEmpty():
+            break
     return values.where((F.col("confidence") >= options.accept) & (F.col("seed") == 0)).select("value", "confidence")
 
 

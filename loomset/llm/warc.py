@@ -33,6 +33,8 @@ from loomset.llm.cluster import cut
 
 #: Digests (some 100 bytes each) that are sent to all tasks at most.
 BROADCAST = 300_000
+#: Tasks that the pages of one payload are dealt to, where there are more.
+SALT = 32
 SEEK_FRAME, SEEK_END = 0x184D2A5E, 0x8F92EAB1
 BUNDLE = "bundle_id string, archive binary, record_ids array<string>, frames array<int>, offsets array<long>, lengths array<long>"
 
@@ -111,9 +113,11 @@ def decided(pages: DataFrame, options: Options = Options(), key: str = "page_id"
     small = rows.select("page_id", "digest").where(F.octet_length("payload") >= options.least)
     groups = small.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
     groups = cut(groups.select("digest", "top"))
-    if groups.count() <= BROADCAST:  # else payloads are dealt out by digest
-        groups = F.broadcast(groups)
-    joined = rows.join(groups, "digest", "left")
+    if groups.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(groups), "digest", "left")
+    else:  # payloads are dealt out by digest and page, as one payload may be that of a third of all pages
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+        joined = dealt.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["digest", "salt"], "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"), "digest", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 

@@ -74,7 +74,9 @@ def brute_bootstrap(rows, o):
         ids = [(s, e) for s, e in ids if not any(a < e and s < b for a, b in forms)]
         for spans, seed in ((forms, True), (ids, False)):
             for s, e in spans:
-                left, right = word(t[max(0, s - o.context) : s]), word(t[e : e + o.context])
+                before, after = t[max(0, s - o.context - 1) : s], t[e : e + o.context + 1]
+                left = word(re.sub(r"^\S+", "", before) if s > o.context else before)  # no word that the window cuts in two
+                right = word(re.sub(r"\S+$", "", after) if len(t) - e > o.context else after)
                 patterns = {("l", *left[-k:]) for k in (1, 2) if len(left) >= k} | {("r", *right[:k]) for k in (1, 2) if len(right) >= k}
                 seen.append((n, s, e, t[s:e].lower(), seed, patterns))
     edges = {(p, v) for *_, v, _, ps in seen for p in ps}
@@ -87,12 +89,15 @@ def brute_bootstrap(rows, o):
             total = sum(sure[v] for v in values)
             if total >= o.support - 1e-9 and total / (len(values) + 1) >= o.accept - 1e-9:
                 score[p] = total / (len(values) + 1)
+        old = dict(sure)
         for v in sure:
             left = 1.0
             for p, w in edges:
                 if w == v and p in score:
                     left *= 1 - score[p]
             sure[v] = max(float(v in seeds), 1 - left)
+        if all(sure[v] - old[v] <= o.settled for v in sure):
+            break
     out = {}
     for n, s, e, v, seed, _ in seen:
         if not seed and v not in seeds and sure[v] >= o.accept:
@@ -124,3 +129,29 @@ def test_bootstrap_equals_plain_loops(spark):
         assert {i: x for i, x in got.items() if x} == want
         found += len(want)
     assert found > 40
+
+
+def test_words_that_the_window_cuts_are_no_context(spark):
+    options = pii.Bootstrap(context=12)
+    rows = [(i, f"{'x' * (i % 9)}yesterday night a{i}@b.cd or{'z' * (i % 7)}") for i in range(40)]
+    rows += [(100, "day night 12345 or")]  # the seeds' second word is longer than what the window shows of it
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df, options).collect()}
+    assert got[100] == "id:10:15"  # by `night` alone
+    seen = pii.scan(df.where("doc_id = 5"), "text").select(pii.contexts(df["text"], pii.F.element_at("base_spans", 1), 12).alias("p")).first().p
+    assert [x for x in seen if x.startswith("before")] == ["before1 night"]
+
+
+def test_confidence_spreads_until_it_settles(spark):
+    """Identifiers of one context make the next one sure, and so on, further than three rounds lead."""
+    sizes, rows = [120, 50, 20, 8, 3], []
+    for k, n in enumerate(sizes):
+        value = lambda i, k=k: f"a{i}@b.cd" if k == 0 else f"N{'abcde'[k]}{1000 + i}"
+        for j in (k - 1, k):  # with those before them, and with those after
+            if j >= 0:
+                rows += [(10_000 * k + 1000 * (k - j) + i, f"lead{'abcde'[j]} {value(i)} tail{'abcde'[j]}") for i in range(n)]
+    rows.append((99_999, "other 123456 words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    count = lambda o: sum(r.spans.startswith("id:") for r in pii.report(df, o).collect())
+    assert count(pii.Bootstrap(accept=0.5, support=3.0)) == 2 * sum(sizes[1:])
+    assert count(pii.Bootstrap(accept=0.5, support=3.0, rounds=3)) < 2 * sum(sizes[1:])

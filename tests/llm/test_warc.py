@@ -63,3 +63,12 @@ def test_least_payload(spark, folder):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.report(df, folder, warc.Options(least=3)).collect()}
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_many_repeated_payloads(spark, folder, monkeypatch):
+    """Where the repeated digests are not sent to all tasks, one payload of a third of all pages is dealt to several."""
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"page {i // 2}") for i in range(300)] + [(None, None, "hot")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, warc.report(df, f"{folder}-a").collect()))
+    monkeypatch.setattr(warc, "BROADCAST", -1)
+    assert sorted(map(str, warc.report(df, f"{folder}-b").collect())) == want and len(want) == 301
