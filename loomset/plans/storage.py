@@ -9,7 +9,7 @@ from loomset.operators.world import ranked, shares
 from loomset.plans.catalog import query, t
 from loomset.plans.endtoend import MEMBER, documents
 from loomset.plans.lineage import mounted, own_folder
-from loomset.sources import archives, images, indextable, tar
+from loomset.sources import archives, files, images, indextable, tar
 
 
 def loose(spark: SparkSession, files: DataFrame, folder: str) -> None:
@@ -153,3 +153,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return shares(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", (F.col("o_orderkey") % 2).cast("int"), 2)
+
+
+@query(
+    "snk4_tensor_values",
+    "SELECT CAST(label % 2 AS INT) AS side, 'v' || vec_id AS name, CAST(len(embedding) AS INT) AS n, array_to_string(list_transform(embedding, lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1000000, 0) AS BIGINT)), ',') AS values FROM embeddings",
+)
+def _(spark, sf):
+    """Tensors of two keys, each in several files, with all their values."""
+    e = t(spark, sf, "embeddings").select((F.col("label") % 2).alias("side"), F.concat(F.lit("v"), F.col("vec_id")).alias("name"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("values"))
+    got = files.tensors_unpacked(files.tensors_packed(e, "side", most=16 << 10), "side")
+    millionths = F.transform("values", lambda x: F.rint(x.cast("double") * 1_000_000).cast("long").cast("string"))
+    return got.select("side", "name", F.element_at("shape", 1).alias("n"), F.array_join(millionths, ",").alias("values"))

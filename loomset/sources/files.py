@@ -10,6 +10,7 @@ import wave
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -172,24 +173,29 @@ def elements(raw: bytes, dtype: str) -> np.ndarray:
 TENSORS = "name string, shape array<int>, dtype string, values array<float>"
 
 
-def tensors_packed(df: DataFrame, key: str, dtype: str = "F32") -> DataFrame:
-    """key, content: each key's tensors (name, shape, values) as one zstd-compressed safetensors file of one element type."""
+def tensors_packed(df: DataFrame, key: str, dtype: str = "F32", most: int = 256 << 20) -> DataFrame:
+    """key, part, content: each key's tensors (name, shape, values) as zstd-compressed safetensors files of one element type.
+
+    A key of more than `most` bytes has several files, dealt by tensors' names, so that no key is one task."""
 
     def pack(table: pa.Table) -> pa.Table:
         import zstandard
 
         header, body, at = {}, [], 0
-        for r in sorted(table.to_pylist(), key=lambda r: r["name"]):
-            raw = np.asarray(r["values"], DTYPES[dtype]).tobytes()
-            header[r["name"]] = {"dtype": dtype, "shape": r["shape"], "data_offsets": [at, at + len(raw)]}
+        order = pc.sort_indices(table["name"]).to_pylist()
+        for i in order:
+            raw = table["values"][i].values.to_numpy(zero_copy_only=False).astype(DTYPES[dtype]).tobytes()
+            header[table["name"][i].as_py()] = {"dtype": dtype, "shape": table["shape"][i].as_py(), "data_offsets": [at, at + len(raw)]}
             body.append(raw)
             at += len(raw)
         head = json.dumps(header, separators=(",", ":")).encode()
         head += b" " * (-len(head) % 8)
         whole = zstandard.ZstdCompressor(level=3).compress(struct.pack("<Q", len(head)) + head + b"".join(body))
-        return pa.table({key: table[key].slice(0, 1), "content": pa.array([whole], pa.binary())})
+        return pa.table({key: table[key].slice(0, 1), "part": table["__part"].slice(0, 1), "content": pa.array([whole], pa.binary())})
 
-    return df.groupBy(key).applyInArrow(pack, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+    sizes = df.groupBy(F.col(key).alias("__of")).agg(F.ceil(F.sum(F.size("values")) * np.dtype(DTYPES[dtype]).itemsize / most).alias("__parts"))
+    dealt = df.join(sizes, F.col(key).eqNullSafe(F.col("__of"))).withColumn("__part", F.pmod(F.xxhash64("name"), F.greatest("__parts", F.lit(1))).cast("int"))
+    return dealt.select(key, "name", "shape", "values", "__part").groupBy(key, "__part").applyInArrow(pack, f"{key} {df.schema[key].dataType.simpleString()}, part int, content binary")
 
 
 def tensors_unpacked(files: DataFrame, key: str, content: str = "content") -> DataFrame:
