@@ -267,7 +267,7 @@ def filter_documents(documents: DataFrame, rules: Rules = Rules(), text: str = "
         yield block.filter(pa.array(m["kept"]))
 
     def over(batches):
-        for block in tb.blocks(batches, names[at_text]):
+        for block in tb.blocks(batches, names[at_text], 1 << 20):
             yield from run(block)
             tb.release()
         forget()
