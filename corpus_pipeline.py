@@ -44,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document."""
-    return pieces.sample(docs)
+    """Sampled segmentations of each document; the blocks' size changes memory, not results."""
+    return pieces.sample(docs, pieces.Sampling(block=3 << 18, part=1 << 18))
 
 
 STAGES = [("quality rules", quality), ("minhash near-dedup", near_dedup), ("secret scan", secret_scan), ("mix sources", mix), ("sentencepiece", encode)]
