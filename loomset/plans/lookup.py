@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import lemmas
+from loomset.operators import lemmas, tables
 from loomset.plans.catalog import query, t
-from loomset.plans.lineage import mounted, own_folder
+from loomset.plans.lineage import materialised, mounted, own_folder
 from loomset.plans.storage import loose
 from loomset.sources import fetch, positions
 
@@ -85,3 +85,23 @@ def _(spark, sf):
     rules = lemmas.learned(inflected(spark, sf))
     b = t(spark, sf, "benchmark").select("item_id", F.lower("text").alias("text"))
     return lemmas.lemmatised_texts(b, "text", rules).select("item_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+#: Columns that may refer to another table's key; the last one does not.
+REFERENCES = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("part", "p_size", "region", "r_regionkey"),
+]
+EDGES = " UNION ALL ".join(f"SELECT '{c}' AS child, '{p}' AS parent WHERE NOT EXISTS (SELECT 1 FROM {c} WHERE {k} NOT IN (SELECT {q} FROM {p}))" for c, k, p, q in REFERENCES)
+NAMED = ", ".join(f"'{x}'" for x in sorted({x for c, _, p, _ in REFERENCES for x in (c, p)}))
+
+
+@query("ddl3_inferred_order", f"WITH RECURSIVE e AS ({EDGES}), d AS (SELECT unnest([{NAMED}]) AS \"table\", 0 AS depth UNION SELECT child, depth + 1 FROM e JOIN d ON d.\"table\" = e.parent) SELECT \"table\", max(depth) AS depth FROM d GROUP BY 1")
+def _(spark, sf):
+    """In which order tables can be emptied, by the references that hold in their rows."""
+    held = None
+    for child, key, parent, of in REFERENCES:
+        lost = t(spark, sf, child).select(F.col(key).alias("k")).where("k is not null").distinct().join(t(spark, sf, parent).select(F.col(of).alias("k")), "k", "left_anti")
+        edge = lost.agg((F.count("*") == 0).alias("held")).select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "held")
+        held = edge if held is None else held.unionByName(edge)
+    return tables.deletion_order(materialised(held.where("held").drop("held")))

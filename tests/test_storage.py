@@ -140,3 +140,16 @@ def test_world(spark):
         yield pa.record_batch([pa.array([[x["rank"] for x in seen]], pa.list_(pa.int32()))], names=["ranks"])
 
     assert [r.ranks for r in world.in_world(df, F.col("w"), 3, run, "ranks array<int>").collect()] == [[0, 1, 2]] * 3
+
+
+def test_a_large_keys_tensors(spark):
+    """A key that holds most rows has several files, and no tensor is lost."""
+    from loomset.sources import files
+
+    rows = [("hot" if i % 10 else None, f"t{i:03d}", [2, 4], [float(i + j) for j in range(8)]) for i in range(200)] + [("empty", "e", [0], [])]
+    df = spark.createDataFrame(rows, "k string, name string, shape array<int>, values array<float>").repartition(4)
+    packed = files.tensors_packed(df, "k", most=1000)
+    counts = {r.k: r.n for r in packed.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert counts["hot"] >= 4 and counts["empty"] == 1
+    got = sorted((r.k or "", r.name, list(r.shape), list(r.values)) for r in files.tensors_unpacked(packed, "k").collect())
+    assert got == sorted((k or "", n, s, v) for k, n, s, v in rows)
