@@ -333,7 +333,7 @@ def leaf_rows(classes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | No
     small, large = [], None
     for level in range(join.depth):
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        kept = cut(nodes.join(sizes, "path"))
+        kept = narrow(nodes.join(sizes, "path"))
         small.append(kept.where(F.col("n") <= join.leaf).select("id", "path"))
         large = kept.where(F.col("n") > join.leaf)
         if large.isEmpty():
@@ -541,12 +541,12 @@ def near_duplicates(documents: DataFrame, join: Join = Join(), key: str = "doc_i
     null key have a null component and are kept. Other columns are not read.
     """
     source = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    every = cut(sketches(source, join))
+    every = narrow(sketches(source, join))
     apart = told_apart(every, source, join)
     rows, source, texts = apart or (every, source, None)
     full = rows.where("set_key is not null and doc_id is not null")
     keys = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    classes = cut(rows.select(F.col("doc_id").alias("id"), "set_key", "vals", "marks").join(keys, ["id", "set_key"], "left_semi").dropDuplicates(["id"]).drop("set_key"))
+    classes = narrow(rows.select(F.col("doc_id").alias("id"), "set_key", "vals", "marks").join(keys, ["id", "set_key"], "left_semi").dropDuplicates(["id"]).drop("set_key"))
     found = linked(classes, source, join)
     of_class = keys.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "doc_id")
