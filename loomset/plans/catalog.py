@@ -72,14 +72,18 @@ def _(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").limit(5)
 
 
+def member_files(spark, sf):
+    return t(spark, sf, "documents").select(F.format_string("doc_%d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("data"))
+
+
 def archives(spark, sf):
-    docs = t(spark, sf, "documents").select(F.format_string("doc_%d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("data"))
-    return docs, tar.packed(docs, 8)
+    docs = member_files(spark, sf)
+    return tar.packed(docs, tar.shards_for(docs))
 
 
 @query("src6_tar_index", "SELECT 'doc_' || doc_id || '.txt' AS name, octet_length(encode(text)) AS size FROM documents")
 def _(spark, sf):
-    return tar.index_of(archives(spark, sf)[1]).select("name", "size")
+    return tar.index_of(archives(spark, sf)).select("name", "size")
 
 
 @query("src8_last_member_wins", "SELECT o_custkey % 50 AS archive, 'm' || o_custkey AS name, max(o_orderkey) AS position FROM orders GROUP BY ALL")
@@ -98,14 +102,15 @@ def _(spark, sf):
 
 @query("src9_tar_members", "SELECT 'doc_' || doc_id || '.txt' AS name, octet_length(encode(text)) AS size, sha256(text) AS sha FROM documents")
 def _(spark, sf):
-    return tar.members_of(archives(spark, sf)[1]).select("name", "size", F.sha2("data", 256).alias("sha"))
+    return tar.members_of(archives(spark, sf)).select("name", "size", F.sha2("data", 256).alias("sha"))
 
 
 @query("snk3_verify_tar", "SELECT 'doc_' || doc_id || '.txt' AS name, CASE WHEN doc_id % 100 = 0 THEN 'missing' ELSE 'size' END AS problem FROM documents WHERE doc_id % 100 = 0 OR doc_id % 77 = 0")
 def _(spark, sf):
-    docs, _ = archives(spark, sf)
+    docs = member_files(spark, sf)
     number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
-    actual = tar.members_of(tar.packed(docs.where(number % 100 != 0).withColumn("data", F.when(number % 77 == 0, F.concat("data", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("data"))), 8))
+    changed = docs.where(number % 100 != 0).withColumn("data", F.when(number % 77 == 0, F.concat("data", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("data")))
+    actual = tar.members_of(tar.packed(changed, tar.shards_for(changed)))
     return tar.verified(docs, actual)
 
 

@@ -22,6 +22,10 @@ INDEX = "archive string, position long, name string, offset long, size long, mti
 # Fixed values of the archive's owner and mode.
 OWNER, GROUP_ID, MODE = "bigdata", 10999, 0o666
 META = r"__[^/]*__($|/)"
+#: Bytes of an archive that is held as one value, about: a task holds one at once, and a few copies of it.
+ARCHIVE = 16 << 20
+#: Bytes of an archive that one task reads, of contents in one batch, and members in one batch of an index, about.
+SPLIT, FLUSH, ROWS = 256 << 20, 8 << 20, 10_000
 
 
 class Archive(InputPartition):
@@ -43,6 +47,7 @@ class TarIndexReader(DataSourceReader):
                 if m.isfile():
                     yield partition.path, n, m.name, m.offset_data, m.size, float(m.mtime)
                     n += 1
+                tar.members = []  # else all of them are kept
 
 
 class TarIndex(DataSource):
@@ -71,16 +76,30 @@ def index_of(archives: DataFrame, archive: str = "archive", content: str = "cont
 
     def run(batches):
         for batch in batches:
-            rows = []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with tarfile.open(fileobj=io.BytesIO(body.as_py()), mode="r:") as tar:
-                    rows += [(name, n, m.name, m.offset_data, m.size, float(m.mtime)) for n, m in enumerate(m for m in tar if m.isfile())]
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in INDEX.split(", ")])
+                with tarfile.open(fileobj=pa.BufferReader(body.as_buffer()), mode="r:") as tar:
+                    yield from index_batches(name, tar)
 
     return archives.select(archive, content).mapInArrow(run, INDEX)
 
 
+def index_batches(path: str, archive: tarfile.TarFile) -> Iterator[pa.RecordBatch]:
+    """INDEX of an open archive, in batches of ROWS members."""
+    rows, n = [], 0
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+    batch = lambda: pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in INDEX.split(", ")])
+    for m in archive:
+        if m.isfile():
+            rows.append((path, n, m.name, m.offset_data, m.size, float(m.mtime)))
+            n += 1
+        archive.members = []  # else all of them are kept
+        if len(rows) == ROWS:
+            yield batch()
+            rows = []
+    if rows:
+        yield batch()
+
+
 def last_wins(index: DataFrame) -> DataFrame:
     """One row for each member name of an archive: the last with that name."""
     row = F.struct("position", "offset", "size", "mtime")
@@ -103,10 +122,6 @@ def stale(stored: DataFrame, stat: DataFrame) -> DataFrame:
     return stat.join(known, (stat.archive == known.archive) & stat["size"].eqNullSafe(known["size"]) & stat["mtime"].eqNullSafe(known["mtime"]), "left_anti")
 
 
-#: Bytes of an archive that one task reads, and of contents in one batch, about.
-SPLIT, FLUSH = 256 << 20, 32 << 20
-
-
 def read_members(index: DataFrame, split: int = SPLIT, flush: int = FLUSH) -> DataFrame:
     """index with `content`, read in order of offsets, each stretch of `split` bytes of an archive by one task.
 
@@ -153,24 +168,47 @@ def members_of(archives: DataFrame, archive: str = "archive", content: str = "co
     def run(batches):
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with tarfile.open(fileobj=io.BytesIO(body.as_py()), mode="r:") as tar:
-                    rows = [(name, m.name, m.size, tar.extractfile(m).read()) for m in tar if m.isfile()]
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["archive", "name", "size", "data"])
+                with tarfile.open(fileobj=pa.BufferReader(body.as_buffer()), mode="r:") as tar:
+                    yield from member_batches(name, tar)
 
     return archives.select(archive, content).mapInArrow(run, "archive string, name string, size long, data binary")
 
 
+def member_batches(path: str, archive: tarfile.TarFile) -> Iterator[pa.RecordBatch]:
+    """archive, name, size, data of an open archive's members, in batches of FLUSH bytes or one member."""
+    rows, held = [], 0
+    types = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    batch = lambda: pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["archive", "name", "size", "data"])
+    for m in archive:
+        if m.isfile():
+            rows.append((path, m.name, m.size, archive.extractfile(m).read()))
+            held += m.size
+        archive.members = []
+        if held >= FLUSH or len(rows) == ROWS:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 def natural(name: str = "name"):
     """Order columns for natural sorting: digit runs padded with zeros."""
     return F.array_join(F.transform(F.regexp_extract_all(F.col(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
-def packed(files: DataFrame, shards: int, most: int = 512 << 20) -> DataFrame:
+def ordered(files: DataFrame, shards: int) -> DataFrame:
+    """files (name, ...) with `shard`, dealt by name, each shard in natural order in a task of its own."""
+    rows = files.withColumns({"shard": F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"), "__order": natural()})
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "__order", "name").drop("__order")
+
+
+def packed(files: DataFrame, shards: int, most: int | None = None) -> DataFrame:
     """archive, content: files (name, data) as tar archives with one owner and mode, in natural order.
 
-    Files are dealt to shards by name; a shard that grows beyond `most` bytes goes on in another archive.
+    Files are dealt to shards by name (see `shards_for`); a shard that grows beyond `most` bytes (ARCHIVE by default)
+    goes on in another archive. An archive is one value here; larger ones go to files by the tarshards sink.
     """
-    dealt = files.select("name", "data", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), natural().alias("__order")).repartition(shards, "shard").sortWithinPartitions("shard", "__order")
+    dealt, most = ordered(files.select("name", "data"), shards), most or ARCHIVE
 
     def run(batches):
         now, part, buffer, tar = None, 0, None, None
@@ -198,10 +236,10 @@ def packed(files: DataFrame, shards: int, most: int = 512 << 20) -> DataFrame:
     return dealt.mapInArrow(run, "archive string, content binary")
 
 
-def shards_for(files: DataFrame, size: int = 128 << 20) -> int:
-    """How many shards of about `size` bytes files (name, data) need: one pass over their lengths."""
-    total = files.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    return max(1, -(-total // size))
+def shards_for(files: DataFrame, size: int | None = None) -> int:
+    """How many shards of about `size` bytes (ARCHIVE by default) files (name, data) need: one pass over their lengths."""
+    total = files.agg(F.sum(F.octet_length("data") + 1024)).first()[0] or 0  # a header, and what fills the last block
+    return max(1, -(-total // (size or ARCHIVE)))
 
 
 def matching(files: DataFrame, patterns: list[str]) -> DataFrame:
