@@ -12,7 +12,7 @@ from loomset.operators import compare, tables
 from loomset.plans import samples
 from loomset.plans.catalog import query, t
 from loomset.plans.lineage import mounted, own_folder
-from loomset.sources import files, tar
+from loomset.sources import archives, files, tar
 
 # -- archives ------------------------------------------------------------------------------------------
 
@@ -26,8 +26,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, folder: str) -> None:
-    tar.written(tar.packed(docs, tar.shards_for(docs)), mounted(folder))
-    tar.register(spark)
+    """docs (name, data) streamed into the archives of a folder, in place of those that are there."""
+    archives.register(spark)
+    tar.ordered(docs.select("name", "data"), tar.shards_for(docs)).select("name", "data").write.format("tarshards").mode("overwrite").save(mounted(folder))
 
 
 @query("flow1_archive_samples", f"SELECT left(name, length(name) - 4) AS __key__, lang AS metadata, CAST(octet_length(encode(text)) AS BIGINT) AS n, sha256(text) AS sha FROM (SELECT *, {MEMBER} AS name FROM documents) WHERE name LIKE 'a/%.jpg'")
@@ -74,7 +75,7 @@ def _(spark, sf):
     folder = own_folder(spark, "pack")
     docs = documents(spark, sf)
     shards(spark, docs, f"{folder}/all")
-    loose = tar.members_of(spark.read.format("binaryFile").load(f"{folder}/all").select(F.col("path").alias("archive"), "content"))
+    loose = tar.members_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(f"{folder}/all").select(F.col("path").alias("archive"), "content"))
     chosen = tar.matching(loose, ["a/*.jpg"])
     shards(spark, chosen.select("name", "data"), f"{folder}/chosen")
     again = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(f"{folder}/chosen").select(F.col("path").alias("archive"), "content")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators.world import ranked, shares
 from loomset.plans.catalog import query, t
-from loomset.plans.endtoend import MEMBER, documents
+from loomset.plans.endtoend import MEMBER, documents, shards
 from loomset.plans.lineage import mounted, own_folder
 from loomset.sources import archives, files, images, indextable, tar
 
@@ -57,16 +57,16 @@ def _(spark, sf):
     UNION ALL SELECT 2, {MEMBER}, CAST(octet_length(encode(text)) + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT), CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END FROM documents WHERE doc_id % 4 <> 2""",
 )
 def _(spark, sf):
-    """Four archives are indexed; then one is written again and one deleted: the new version scans one archive, and the old one can still be read."""
-    import os
+    """Archives in four folders are indexed; then one folder's are written again and one's deleted: the new version scans the new ones, and the old one can still be read."""
+    import shutil
 
     folder = mounted(own_folder(spark, "index"))
     docs = documents(spark, sf)
     for i in range(4):
-        tar.written(tar.packed(docs.where(F.col("doc_id") % 4 == i), 1), f"{folder}/archives/{i}")
+        shards(spark, docs.where(F.col("doc_id") % 4 == i), f"{folder}/archives/{i}")
     indextable.refreshed(spark, f"{folder}/table", f"{folder}/archives")
-    tar.written(tar.packed(docs.where("doc_id % 4 = 1").withColumn("data", F.concat("data", F.encode(F.lit("+"), "UTF-8"))), 1), f"{folder}/archives/1")
-    os.unlink(f"{folder}/archives/2/shard-00000-000.tar")
+    shards(spark, docs.where("doc_id % 4 = 1").withColumn("data", F.concat("data", F.encode(F.lit("+"), "UTF-8"))), f"{folder}/archives/1")
+    shutil.rmtree(f"{folder}/archives/2")
     indextable.refreshed(spark, f"{folder}/table", f"{folder}/archives")
 
     def of(version: int) -> DataFrame:

@@ -12,7 +12,6 @@ import os
 import shutil
 import tarfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +36,8 @@ def scanned(archives: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                rows = []
                 with tarfile.open(path, "r:") as members:
-                    for m in members:
-                        if m.isfile():
-                            rows.append((path, len(rows), m.name, m.offset_data, m.size, float(m.mtime)))
-                        members.members = []  # else all of them are kept
-                types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in tar.INDEX.split(", ")])
+                    yield from tar.index_batches(path, members)
 
     return archives.select("archive").repartition("archive").mapInArrow(run, tar.INDEX)
 
