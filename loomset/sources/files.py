@@ -173,7 +173,11 @@ def elements(raw: bytes, dtype: str) -> np.ndarray:
 TENSORS = "name string, shape array<int>, dtype string, values array<float>"
 
 
-def tensors_packed(df: DataFrame, key: str, dtype: str = "F32", most: int = 256 << 20) -> DataFrame:
+#: Bytes of tensors in a file, which a task holds a few times, and of values in a batch that was unpacked, about.
+TENSOR_FILE, UNPACKED = 16 << 20, 8 << 20
+
+
+def tensors_packed(df: DataFrame, key: str, dtype: str = "F32", most: int = TENSOR_FILE) -> DataFrame:
     """key, part, content: each key's tensors (name, shape, values) as zstd-compressed safetensors files of one element type.
 
     A key of more than `most` bytes has several files, dealt by tensors' names, so that no key is one task."""
@@ -205,19 +209,35 @@ def tensors_unpacked(files: DataFrame, key: str, content: str = "content") -> Da
         import zstandard
 
         for batch in batches:
-            rows = []
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = zstandard.ZstdDecompressor().decompressobj().decompress(raw.as_py())
-                size = struct.unpack("<Q", data[:8])[0]
-                for name, t in json.loads(data[8 : 8 + size]).items():
-                    if name != "__metadata__":
-                        a, b = t["data_offsets"]
-                        rows.append((k, name, t["shape"], t["dtype"], elements(data[8 + size + a : 8 + size + b], t["dtype"]).tolist()))
-            types = (batch.column(0).type, pa.string(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "name", "shape", "dtype", "values"])
+                data = zstandard.ZstdDecompressor().decompressobj().decompress(raw.as_buffer())
+                yield from tensor_batches(key, k, batch.column(0).type, data)
 
     return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, {TENSORS}")
 
 
+def tensor_batches(key: str, of, kind: pa.DataType, data: bytes):
+    """key, name, shape, dtype, values of the tensors in safetensors bytes, in batches of UNPACKED bytes or one tensor."""
+    size = struct.unpack("<Q", data[:8])[0]
+    body, rows, held = memoryview(data)[8 + size :], [], 0
+
+    def batch() -> pa.RecordBatch:
+        names, shapes, dtypes, values = zip(*rows)
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array([of] * len(rows), kind), pa.array(names, pa.string()), pa.array(shapes, pa.list_(pa.int32())), pa.array(dtypes, pa.string()), lists], names=[key, "name", "shape", "dtype", "values"])
+
+    for name, t in json.loads(data[8 : 8 + size]).items():
+        if name != "__metadata__":
+            a, b = t["data_offsets"]
+            rows.append((name, t["shape"], t["dtype"], elements(body[a:b], t["dtype"])))
+            held += 4 * len(rows[-1][3]) + 256
+            if held >= UNPACKED:
+                yield batch()
+                rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteTable)

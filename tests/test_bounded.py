@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from loomset.plans import catalog, endtoend
-from loomset.sources import tar
+from loomset.sources import files, tar
 from tests.oracle import assert_same, connection
 
 
@@ -52,3 +52,21 @@ def test_archives_that_are_written_again_leave_no_old_ones(spark, sf, small, tmp
     assert 0 < len(list(tmp_path.glob("a/*.tar"))) < many
     index = spark.read.format("tarindex").load(f"{tmp_path}/a")
     assert index.count() == docs.where("doc_id % 20 = 1").count()
+
+
+def test_tensors_come_in_batches_of_bounded_size(spark, monkeypatch):
+    rows = [("k", f"t{i:03d}", [2, 50], [float(i + j) for j in range(100)]) for i in range(40)] + [("k", "none", [0], [])]
+    df = spark.createDataFrame(rows, "key string, name string, shape array<int>, values array<float>")
+    (raw,) = [r.content for r in files.tensors_packed(df, "key").collect()]
+    import zstandard
+
+    monkeypatch.setattr(files, "UNPACKED", 4000)
+    data = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    batches = list(files.tensor_batches("key", "k", pa.string(), data))
+    assert len(batches) >= 5 and max(b.num_rows for b in batches) <= 8
+    assert sorted((r["key"], r["name"], r["shape"], r["values"]) for b in batches for r in b.to_pylist()) == sorted(rows)
+
+
+def test_a_key_of_many_tensors_has_files_of_bounded_size(spark):
+    rows = spark.range(40).selectExpr("1 as key", "concat('t', id) as name", "array(250000) as shape", "array_repeat(cast(id as float), 250000) as values")
+    assert files.tensors_packed(rows, "key").count() > 1
