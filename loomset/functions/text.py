@@ -16,6 +16,16 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+#: Bytes of text that one task cuts, about.
+TASK = 4 << 20
+
+
+def tasks_for(texts: DataFrame, column: str) -> int:
+    """How many tasks cutting texts needs: it takes so long a byte that tasks of the size Spark makes for reading are few."""
+    total = texts.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+    return max(1, -(-total // TASK))
+
+
 def stripped(c: Column) -> Column:
     """Without leading and trailing Unicode white space (SQL trim strips spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

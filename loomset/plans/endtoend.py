@@ -217,14 +217,17 @@ CUT_SQL = nested_sql("text", [(text.SENTENCE, f"\\1{text.END}\\2"), *((p, text.r
 @query("str2_treebank", f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array({CUT_SQL}, '[\\s{text.CUT}{text.END}]+'), lambda x: x <> ''), '|')) AS tokens FROM documents")
 def _(spark, sf):
     words = F.transform(text.treebank_words(F.col("text")), lambda p: p["word"])
-    return t(spark, sf, "documents").select("doc_id", F.md5(F.array_join(words, "|")).alias("tokens"))
+    docs = t(spark, sf, "documents").select("doc_id", "text")
+    return docs.repartition(text.tasks_for(docs, "text"), "doc_id").select("doc_id", F.md5(F.array_join(words, "|")).alias("tokens"))
 
 
 @query("str2_rebuilt", "SELECT doc_id, ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS words, ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentences FROM documents")
 def _(spark, sf):
     """Tokens with their connectors, of words and of sentences, make the text again."""
     rebuilt = lambda f: text.rebuilt(f(F.col("text")))
-    return t(spark, sf, "documents").select("doc_id", rebuilt(text.treebank_words).alias("words"), rebuilt(text.sentences_and_connectors).alias("sentences"))
+    docs = t(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.repartition(text.tasks_for(docs, "text"), "doc_id")
+    return docs.select("doc_id", rebuilt(text.treebank_words).alias("words"), rebuilt(text.sentences_and_connectors).alias("sentences"))
 
 
 @query("str4_lemmas_of_texts", "SELECT item_id, string_agg(CASE w WHEN 'dogs' THEN 'dog' WHEN 'are' THEN 'be' WHEN 'was' THEN 'be' ELSE w END, ' ' ORDER BY i) AS lemmas FROM (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark)) GROUP BY 1")
