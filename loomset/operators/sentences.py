@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.functions.text import END, bound, treebank_tokens
+from loomset.functions.text import END, bound, tasks_for, treebank_tokens
 from loomset.plans.lineage import materialised
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -152,18 +152,19 @@ def decided(contexts: DataFrame, model: Model) -> DataFrame:
 def boundaries(texts: DataFrame, model: Model, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """texts with `__ends`: the positions, ascending, of the words after which a sentence ends and another word follows (null: none).
 
-    Texts are named by a digest, so rows of equal text and language are looked at once."""
+    Texts are named by a digest of language and text, so rows of equal ones are looked at once, and dealt by it."""
     names = texts.columns
     language = F.col(lang) if lang else F.lit("")
-    rows = texts.withColumn("__lang", language).withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    named = F.concat(F.coalesce(F.concat(F.lit("l"), language), F.lit("n")), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
+    rows = texts.withColumn("__lang", language).withColumn("__digest", F.sha2(named, 256))
     may = lambda x: F.right(F.rtrim(x, F.lit(CLOSING)), F.lit(1)).isin(".", "!", "?")
     each = bound(words(F.col(text)), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"), F.get(w, i + 1).alias("next"))))
     each = F.filter(each, lambda x: may(x["word"]) & x["next"].isNotNull())
     found = rows.select(F.col("__lang").alias("lang"), "__digest", F.explode(each).alias("x")).select("lang", "__digest", "x.*")
     ends = decided(found.select("lang", "word", "next").distinct(), model)
     marks = found.alias("c").join(ends.alias("e"), [F.expr("c.lang <=> e.lang"), F.expr("c.word = e.word"), F.expr("c.next = e.next")], "left_semi")
-    marks = marks.groupBy("lang", "__digest").agg(F.array_sort(F.collect_set("at")).alias("__ends"))
-    out = rows.alias("r").join(marks.alias("m"), [F.expr("r.__digest = m.__digest"), F.expr("r.__lang <=> m.lang")], "left")
+    marks = marks.groupBy("__digest").agg(F.array_sort(F.collect_set("at")).alias("__ends"))
+    out = rows.repartition(tasks_for(texts, text), "__digest").alias("r").join(marks.alias("m"), F.expr("r.__digest = m.__digest"), "left")
     return out.select(*(F.col(f"r.`{n}`") for n in names), "__ends")
 
 

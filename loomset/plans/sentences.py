@@ -81,10 +81,14 @@ def _(spark, sf):
     return model(spark, sf)[1].pairs
 
 
+#: Texts with a word. A condition on what was cut would be worked out beside the cut: the text would be cut twice.
+WORDY = r"text rlike r'[^\x20\x09-\x0D]'"
+
+
 @query("str2_sentences", f"WITH {MODEL}, {DECIDED}, z AS (SELECT doc_id, j, string_agg(piece, '' ORDER BY i) AS sentence FROM y GROUP BY 1, 2) SELECT doc_id, count(*) AS n, md5(string_agg(rtrim(sentence, E' \\t\\n\\x0b\\x0c\\r'), '|' ORDER BY j)) AS sentences FROM z GROUP BY 1")
 def _(spark, sf):
     docs, learned = model(spark, sf)
-    found = s.sentences(docs, learned).where(F.size("sentences") > 0)
+    found = s.sentences(docs.where(WORDY), learned)
     return found.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences.word", "|")).alias("sentences"))
 
 
@@ -99,5 +103,5 @@ CUT = nested_sql("marked", [(p, text.replacement(g, "\\")) for p, g in text.TREE
 )
 def _(spark, sf):
     docs, learned = model(spark, sf)
-    found = s.words_of_sentences(docs, learned).where(F.size("words") > 0)
+    found = s.words_of_sentences(docs.where(WORDY), learned)
     return found.select("doc_id", F.md5(F.array_join("words.word", "|")).alias("words"))
