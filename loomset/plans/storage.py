@@ -21,7 +21,7 @@ def loose(spark: SparkSession, files: DataFrame, folder: str) -> None:
         for r in rows:
             path = f"{folder}/{r['name']}"
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            with archives.safely(path) as f:
+            with archives.safely(path, sync=False) as f:
                 f.write(r["data"])
 
     files.select("name", "data").foreachPartition(save)
@@ -32,7 +32,7 @@ def _(spark, sf):
     """A folder's files that match a pattern, packed, held against the files, deleted, and read back by the manifest."""
     folder = mounted(own_folder(spark, "folder"))
     loose(spark, documents(spark, sf), f"{folder}/files")
-    done = archives.pack_folder(spark, f"{folder}/files", f"{folder}/packed", ("a/*.jpg",), shards=4, delete=True)
+    done = archives.pack_folder(spark, f"{folder}/files", f"{folder}/packed", ("a/*.jpg",), most=archives.PACK, delete=True)
     index = spark.read.format("tarindex").load(f"{folder}/packed").join(done.select("archive"), "archive", "left_semi")
     return tar.read_members(index).select("name", F.sha2("content", 256).alias("sha"))
 

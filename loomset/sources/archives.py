@@ -32,17 +32,22 @@ from loomset.sources import tar
 
 MANIFEST, STAGING = "_manifest", "_staging"
 CHUNK = 1 << 20
+#: Bytes of files that one task packs, about, where the caller does not say.
+PACK = 128 << 20
 
 
 @contextlib.contextmanager
-def safely(path: str, mode: str = "wb"):
-    """A file that takes `path` when the block ends, and is gone if the block fails; what was there before stays till then."""
+def safely(path: str, mode: str = "wb", sync: bool = True):
+    """A file that takes `path` when the block ends, and is gone if the block fails; what was there before stays till then.
+
+    sync: wait until the disk has it; not needed for files that are made again if the machine fails."""
     own = f"{path}.part-{uuid.uuid4().hex}"
     try:
         with open(own, mode) as f:
             yield f
-            f.flush()
-            os.fsync(f.fileno())
+            if sync:
+                f.flush()
+                os.fsync(f.fileno())
         os.replace(own, path)
     except BaseException:
         with contextlib.suppress(FileNotFoundError):
@@ -241,5 +246,5 @@ def pack_folder(spark: SparkSession, folder: str, into: str, patterns: tuple[str
     if verify and (faults := packed_faults(spark, files, into).limit(10).collect()):
         raise ValueError(f"archives in {into} are not the files of {folder}: {[tuple(x) for x in faults]}")
     if delete and fresh:
-        files.select("path").foreachPartition(lambda rows: [os.unlink(r.path) for r in rows] and None)
+        files.select("path").repartition("path").foreachPartition(lambda rows: [os.unlink(r.path) for r in rows] and None)
     return archives_of(spark, into)

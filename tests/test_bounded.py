@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from loomset.plans import catalog, endtoend
-from loomset.sources import files, tar
+from loomset.sources import archives, files, tar
 from tests.oracle import assert_same, connection
 
 
@@ -70,3 +70,11 @@ def test_tensors_come_in_batches_of_bounded_size(spark, monkeypatch):
 def test_a_key_of_many_tensors_has_files_of_bounded_size(spark):
     rows = spark.range(40).selectExpr("1 as key", "concat('t', id) as name", "array(250000) as shape", "array_repeat(cast(id as float), 250000) as values")
     assert files.tensors_packed(rows, "key").count() > 1
+
+
+def test_a_folder_is_packed_by_as_many_tasks_as_its_bytes_need(spark, sf, monkeypatch):
+    monkeypatch.setattr(archives, "PACK", 16 << 10, raising=False)
+    made, pack = [], archives.pack_folder
+    monkeypatch.setattr(archives, "pack_folder", lambda *a, **k: made.append(pack(*a, **k)) or made[0])
+    assert_same(catalog.QUERIES["snk2_packed_folder"](spark, sf), connection(sf), catalog.SQL["snk2_packed_folder"])
+    assert made[0].count() > 4
