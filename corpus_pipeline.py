@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import chosenpath, fertility, mixing, pieces, secrets
-from loomset.llm.cluster import cut, shared
+from loomset.llm.cluster import cut, few, shared
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id are one group, of which the smallest row by its columns stays; rows of null ids stay.
     """
-    gone = chosenpath.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
+    gone = few(chosenpath.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__loom_gone")).distinct())
     left = docs.join(gone, docs.doc_id == F.col("__loom_gone"), "left_anti").select(docs.columns)
     twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__loom_n")).where("__loom_n > 1").select(F.col("doc_id").alias("__loom_twice")))
     if twice.isEmpty():

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import textbatch as tb
-from loomset.llm.cluster import cut, narrow
+from loomset.llm.cluster import SENT, counted, cut, few, narrow
 from loomset.llm.sieve import sieved
 from loomset.operators.ranking import positioned
 
@@ -491,7 +491,7 @@ def moved(groups: DataFrame, parts: DataFrame) -> DataFrame:
     """groups (id, component) after their components were drawn together by parts (id: a component, component: its new one)."""
     every = groups.unionByName(parts.select("id", F.col("id").alias("component"))).distinct()
     to = parts.select(F.col("id").alias("component"), F.col("component").alias("next"))
-    return narrow(every.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+    return few(every.join(to, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -500,18 +500,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Each round replaces an id's label by the smallest label among its neighbours and itself, then by its
     label's label; rounds end when nothing changes. Labels are cut into the shared folder each round.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = narrow(both)
-    few = both.rdd.getNumPartitions()
-    labels = narrow(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).select(F.col("x").alias("id"), "label"))
+    x, y = F.col(a).alias("x"), F.col(b).alias("y")
+    both = links.select(x, y).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y")))
+    # an id is its own neighbour, so that a round's first join finds its label too
+    both, n = counted(both.unionByName(both.select("x", F.col("x").alias("y"))).distinct())
+    parts = both.rdd.getNumPartitions()
+    told = (lambda df: F.broadcast(df)) if n <= SENT else (lambda df: df)  # there are fewer labels than rows of both
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("label")).select(F.col("x").alias("id"), "label").coalesce(parts))
     for _ in range(most):
-        far = both.join(labels.select(F.col("id").alias("y"), "label"), "y").coalesce(few).groupBy("x").agg(F.min("label").alias("near"))
-        hooked = labels.join(far, labels.id == far.x).select("id", "label", F.least("label", "near").alias("next")).coalesce(few)
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("further"))
-        settled = cut(hooked.join(jump, "next").select("id", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved")).coalesce(few))
+        near = both.join(told(labels.select(F.col("id").alias("y"), "label")), "y").coalesce(parts).groupBy("x")
+        hooked = near.agg(F.min("label").alias("next"), F.max(F.when(F.col("x") == F.col("y"), F.col("label"))).alias("label")).coalesce(parts)
+        jump = told(labels.select(F.col("id").alias("next"), F.col("label").alias("further")))
+        settled = cut(hooked.join(jump, "next").select(F.col("x").alias("id"), F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved")).coalesce(parts))
         labels = settled.select("id", "label")
         if settled.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            return told(labels.withColumnRenamed("label", "component"))
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 

@@ -164,3 +164,12 @@ def test_ids_with_several_texts(spark):
         got = chosenpath.near_duplicates(df).collect()
         assert sorted((r.doc_id, r.component_id) for r in got) == want
         assert sorted(r.n_shingles for r in got) == [0, 1, 56, 56, 56, 57, 57, 57]
+
+
+def test_few_labels_settle_without_an_exchange_for_each_join(spark):
+    made = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    before = made()
+    got = {r.id: r.component for r in chosenpath.components(links).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    assert made() - before < 50  # 13 in each round when every join was a shuffle: they fill the driver
