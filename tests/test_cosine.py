@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomset.functions import arrays
 from loomset.plans import catalog
@@ -65,3 +66,15 @@ def test_ids_that_repeat(spark, monkeypatch):
     assert {(r.left_id, r.right_id): r.n for r in got} == {(i, j): 625 for i in sums for j in sums}
     for r in got:
         assert r.s == pytest.approx(sums[r.left_id] @ sums[r.right_id]), r
+
+
+def test_vectors_are_written_once_and_not_shuffled_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "BLOCK", 8)
+    monkeypatch.setattr(arrays, "SIDE", 3)
+    df = spark.range(100).repartition(9).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    out = arrays.cosine_matrix(df, df.where("id < 50"), "id", "id", "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert len({(r.left_id, r.right_id) for r in out.collect()}) == out.count() == 5000
+    sizes = [pa.ipc.open_stream(r.block).read_all().num_rows for r in arrays.blocks(df).collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 16
